@@ -11,12 +11,15 @@ from .op02_dedup import exact_dedup
 from .op05_shard import shard
 from .op07_lines import line_dedup
 from .op08_quality import quality
+from .op10_decontaminate import contaminated
 
 #: Weights that the sources take in turn, what the mix holds of all words, and the most of a source.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
 SHARDS = 24
 LINE_MIN_DOCS, LINE_MIN_CHARS = 10, 1
 QUALITY_THRESHOLD = 0.3
+#: Share of a full copy's alignment score from which a document counts as contaminated.
+LEAK_SCORE = 0.5
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QUALITY_THRESHOLD)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), LEAK_SCORE)
+
+
 SQL_OP1 = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -89,5 +96,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM com
 FROM lines GROUP BY doc_id
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_dedup": op2_dedup, "op5_shard": op5_shard, "op7_lines": op7_lines, "op8_quality": op8_quality}
+QUERIES = {"op1_mix": op1_mix, "op2_dedup": op2_dedup, "op5_shard": op5_shard, "op7_lines": op7_lines, "op8_quality": op8_quality, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op7_lines": SQL_OP7}

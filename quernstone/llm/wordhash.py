@@ -38,8 +38,11 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     if not _powers or len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, b, dtype=U64)]).astype(U64), dtype=U64) for b in (_BASE, inverse)]
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            factors = np.full(n, base, dtype=U64)
+            factors[0] = 1
+            _powers.append(np.cumprod(factors, dtype=U64))
     return _powers[0], _powers[1]
 
 
