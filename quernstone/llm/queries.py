@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .op01_mix import mixture
 from .op02_dedup import exact_dedup
+from .op03_nearjoin import near_join
 from .op05_shard import shard
 from .op07_lines import line_dedup
 from .op08_quality import quality
@@ -31,6 +32,10 @@ def op2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = shard(table(spark, sf_dir, "documents"), SHARDS)
     return places.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -96,5 +101,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM com
 FROM lines GROUP BY doc_id
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_dedup": op2_dedup, "op5_shard": op5_shard, "op7_lines": op7_lines, "op8_quality": op8_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_mix": op1_mix, "op2_dedup": op2_dedup, "op3_nearjoin": op3_nearjoin, "op5_shard": op5_shard, "op7_lines": op7_lines, "op8_quality": op8_quality, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op7_lines": SQL_OP7}
