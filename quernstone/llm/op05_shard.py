@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, text_of
 
-#: Rounds of the network, and numbering buckets (fixed: they decide the permutation).
-ROUNDS, BUCKETS = 6, 4096
+#: Rounds of the network; fewest numbering buckets and most rows of one, about (they decide the numbers, with the row count).
+ROUNDS, BUCKETS, BUCKET_ROWS = 6, 4096, 1 << 16
 
 
 def feistel_domain(n: int) -> tuple[int, int, int]:
@@ -55,29 +55,49 @@ def feistel(number: Column, n: int, seed: int) -> Column:
     return F.when(last < n, last).otherwise(F.raise_error(F.lit("a number did not walk back into range")).cast("long"))
 
 
-def number_rows(rows: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """rows with `number`, 0 to n - 1 in an order fixed by the values of `columns`.
+def number_rows(rows: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """The n rows with `number`, 0 to n - 1 in an order fixed by the values of `columns`.
 
-    Hash buckets are numbered one after the other: their offsets are prefix sums over at most
-    `buckets` counts, and within a bucket a window numbers the rows, so no task holds them all.
+    Hash buckets, more of them for more rows, are numbered one after the other: their offsets are prefix
+    sums over one count a bucket, and within a bucket a window numbers the rows, so no task holds them all.
     """
-    rows = rows.withColumn("h", F.xxhash64(*columns)).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("bucket").count()
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket").orderBy("h", *columns)
-    return rows.withColumn("rank", F.row_number().over(within)).join(small(offsets, rows=buckets), "bucket").withColumn("number", F.col("offset") + F.col("rank") - 1).drop("h", "bucket", "rank", "offset")
+    buckets = max(BUCKETS, n // BUCKET_ROWS)
+    named = rows.withColumn("number hash", F.xxhash64(*columns)).withColumn("number bucket", F.pmod("number hash", F.lit(buckets)).cast("int"))
+    counts = named.groupBy("number bucket").count()
+    before = Window.orderBy("number bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("number bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("number offset"))
+    within = Window.partitionBy("number bucket").orderBy("number hash", *columns)
+    ranked = named.withColumn("number rank", F.row_number().over(within)).join(small(offsets, rows=buckets), "number bucket")
+    return ranked.withColumn("number", F.col("number offset") + F.col("number rank") - 1).drop("number hash", "number bucket", "number rank", "number offset")
+
+
+def _placed(rows: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
+    """rows (id, size, text_crc32 and others) with shard and slot."""
+    place = number_rows(rows, n, ["id", "size", "text_crc32"]).withColumn("place", feistel(F.col("number"), n, seed))
+    count = F.lit(shards).cast("long")
+    return place.withColumns({"shard": F.pmod("place", count).cast("int"), "slot": F.call_function("div", F.col("place"), count)}).drop("number", "place")
+
+
+def _measured(key: str, text: str) -> dict[str, Column]:
+    return {"id": F.col(key), "size": F.octet_length(text_of(text)).cast("long") + 8, "text_crc32": F.crc32(text_of(text))}
 
 
 def shard(docs: DataFrame, shards: int, seed: int = 20240817, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard, slot for each row of docs.
 
-    The result depends on the rows (key, size and checksum), the seed and the shard count alone, not on how they are
-    stored. Null text has size 8 and checksum 0. Rows that are repeated get places of their own.
+    The result depends on the rows (key, size and checksum), the seed and the shard count alone, not on
+    how they are stored. Null text has size 8 and checksum 0. Rows that are repeated get places of their own.
     Null keys are numbered like others. Other columns are ignored; no rows give no rows.
     """
-    slim = cut(docs.select(F.col(key).alias("id"), (F.octet_length(text_of(text)).cast("long") + 8).alias("size"), F.crc32(text_of(text)).alias("text_crc32")))
-    numbered = number_rows(slim, ["id", "size", "text_crc32"])
-    place = numbered.withColumn("place", feistel(F.col("number"), slim.count(), seed))
-    count = F.lit(shards).cast("long")
-    return place.select(F.col("id").alias(key), "size", "text_crc32", (F.col("place") % count).cast("int").alias("shard"), F.call_function("div", F.col("place"), count).alias("slot"))
+    slim = cut(docs.select(*[c.alias(name) for name, c in _measured(key, text).items()]))
+    return _placed(slim, slim.count(), shards, seed).withColumnRenamed("id", key)
+
+
+def place_rows(docs: DataFrame, shards: int, seed: int = 20240817, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs with shard and slot as in `shard`; columns of these names are replaced.
+
+    Rows move once, to be numbered.
+    """
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*columns).alias("row"), *[c.alias(name) for name, c in _measured(key, text).items()])
+    return _placed(rows, docs.count(), shards, seed).select("row.*", "shard", "slot")

@@ -9,14 +9,19 @@ from .common import table
 from .op01_mix import mixture
 from .op02_dedup import exact_dedup
 from .op03_nearjoin import near_join
+from .op04_pii import pseudonymise
 from .op05_shard import shard
+from .op06_extract import extract_main
 from .op07_lines import line_dedup
 from .op08_quality import quality
+from .op09_chat import CHAT, chat_format, formatted, read_back, unescape
 from .op10_decontaminate import contaminated
 
 #: Weights that the sources take in turn, what the mix holds of all words, and the most of a source.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
 SHARDS = 24
+#: Key of the pseudonyms; production sets its own.
+PII_KEY = "quernstone"
 LINE_MIN_DOCS, LINE_MIN_CHARS = 10, 1
 QUALITY_THRESHOLD = 0.3
 #: Share of a full copy's alignment score from which a document counts as contaminated.
@@ -36,11 +41,19 @@ def op3_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "text", "pii", F.size("pii").alias("n_pii"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = shard(table(spark, sf_dir, "documents"), SHARDS)
     return places.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), LINE_MIN_DOCS, LINE_MIN_CHARS)
 
@@ -49,6 +62,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QUALITY_THRESHOLD)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything returned is read back from the formatted conversations."""
+    trial = r"\### Assistant: </turn> ok"
+    extra = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, r'{trial}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    chats = chat_format(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+    whole = chats.withColumn("out", formatted(F.col("segments"))).withColumn("turns", read_back(F.col("out")))
+    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], CHAT)), "")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.withColumn("learnt", learnt).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("out").cast("long").alias("formatted_chars"),
+        F.col("fault").isNull().alias("valid"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), LEAK_SCORE)
 
@@ -101,5 +133,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM com
 FROM lines GROUP BY doc_id
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_dedup": op2_dedup, "op3_nearjoin": op3_nearjoin, "op5_shard": op5_shard, "op7_lines": op7_lines, "op8_quality": op8_quality, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op7_lines": SQL_OP7}
+SQL_OP9 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t.turn, t.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+), coded AS (
+  SELECT *, length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t'), '):', '\c')) + length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: '
+    ELSE '### (' || replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), '):', '\c') || '): ' END) + 8 AS chars,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') || '>' || role AS step, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(step IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AND (from_end > 1 OR role IN ('user', 'assistant'))) AS valid
+FROM coded GROUP BY conv_id
+"""
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_dedup": op2_dedup,
+    "op3_nearjoin": op3_nearjoin,
+    "op4_pii": op4_pii,
+    "op5_shard": op5_shard,
+    "op6_extract": op6_extract,
+    "op7_lines": op7_lines,
+    "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op7_lines": SQL_OP7, "op9_chat": SQL_OP9}
