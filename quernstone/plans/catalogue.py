@@ -1,6 +1,363 @@
-"""Queries over the test tables, each with its SQL where SQL can say it."""
+"""Queries over the test tables, each with its SQL where SQL can say it.
+
+`documents` plays the ingested corpus, `pages` the HTML files, `embeddings` the vectors, `conversations` the chat and export
+rows, `labels` the task results, `events.props` the JSON texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as x
+from ..functions.confidence import confidence, needs_review
+from ..operators import entities as ent
+from ..operators import keywords as kw
+from ..operators import language as lang
+from ..operators import profile as prof
+from ..operators import similarity as sim
+from ..operators.clustering import kmeans
+from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
+from ..operators.label import Decision, Models, label
+from ..providers.brain import parse_design
+from ..providers.llm import FakeClient
+from ..sinks import export
+from ..sources.folder import json_values
+from ..sources.html import html_metadata, html_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(f"SELECT doc_id, CAST(len({WORDS_SQL.format('text')}) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS char_count, CAST(octet_length(encode(text)) AS BIGINT) AS size, left(text, 20) AS prefix FROM documents")
+def doc_stats(spark, d):
+    return t(spark, d, "documents").select("doc_id", x.word_count("text").cast("long").alias("words"), F.length("text").cast("long").alias("char_count"), F.octet_length("text").cast("long").alias("size"), x.head("text", 20).alias("prefix"))
+
+
+NOISE_SQL = r"coalesce(len(regexp_extract_all(text, '[^a-zA-Z0-9\s]'))::DOUBLE / nullif(length(text), 0), 0)"
+
+
+@query(f"SELECT doc_id, round({NOISE_SQL}, 4) AS noise FROM documents")
+def noise_ratio(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.round(x.noise_ratio("text"), 4).alias("noise"))
+
+
+@query(
+    r"""SELECT conv_id, turn, regexp_matches(line, '(^|\n)(User:|Assistant:|Q:|A:|Speaker)') AS dialogue,
+    regexp_matches(line, '(def |class |#include|console\.log|public static|import )') AS code
+    FROM (SELECT conv_id, turn, upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text AS line FROM conversations)"""
+)
+def structure_flags(spark, d):
+    line = F.concat(F.initcap("role"), F.lit(": "), "text")
+    return t(spark, d, "conversations").select("conv_id", "turn", x.has_dialogue(line).alias("dialogue"), x.has_code(line).alias("code"))
+
+
+@query(f"SELECT doc_id, round(coalesce(len(list_distinct({WORDS_SQL.format('text')}))::DOUBLE / nullif(len({WORDS_SQL.format('text')}), 0), 0), 6) AS diversity FROM documents")
+def lexical_diversity(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.round(x.lexical_diversity("text"), 6).alias("diversity"))
+
+
+def _chunk_sql(size: int) -> str:
+    return f"""SELECT doc_id, CAST(i AS INT) AS idx, list_aggregate(list_slice(w, i * {size} + 1, (i + 1) * {size}), 'string_agg', ' ') AS chunk
+    FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / {size}.0) AS BIGINT))) AS i FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents))"""
+
+
+def _chunked(spark, d, size):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(x.chunks("text", size)).alias("idx", "chunk"))
+
+
+@query(_chunk_sql(1000))
+def chunk_text(spark, d):
+    return _chunked(spark, d, 1000)
+
+
+@query(_chunk_sql(100))
+def chunk_text_100(spark, d):
+    return _chunked(spark, d, 100)
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY md5(text)")
+def exact_dedup(spark, d):
+    return drop_duplicates(t(spark, d, "documents"), content_hash("text"), "doc_id").select("doc_id", content_hash("text").alias("digest"))
+
+
+@query(
+    f"""SELECT count(*) AS total_docs, list_sort(list(DISTINCT lang)) AS languages, list_sort(list(DISTINCT source)) AS formats,
+    (SELECT count(*) - count(DISTINCT md5(text)) FROM documents) AS duplicates, CAST(floor(avg(len({WORDS_SQL.format('text')}))) AS BIGINT) AS avg_length,
+    round(sum(octet_length(encode(text))) / 1048576, 3) AS total_size_mb
+    FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS turn FROM documents) WHERE turn = 1"""
+)
+def ingestion_report(spark, d):
+    marked = mark_duplicates(t(spark, d, "documents"), content_hash("text"), "doc_id")
+    return prof.ingestion_stats(
+        marked.withColumns({"words": F.when(~F.col("duplicate"), x.word_count("text")), "size": F.when(~F.col("duplicate"), F.octet_length("text"))}),
+        form="source",
+        duplicates=F.count(F.when(F.col("duplicate"), 1)),
+    ).withColumn("total_docs", F.col("total_docs") - F.col("duplicates"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def lang_distribution(spark, d):
+    return prof.distribution(t(spark, d, "documents"), "lang")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def cluster_sizes(spark, d):
+    return prof.distribution(t(spark, d, "documents"), "source")
+
+
+@query("SELECT source, list_sort(list(doc_id)) AS doc_ids FROM documents GROUP BY source")
+def cluster_members(spark, d):
+    return prof.members(t(spark, d, "documents"), "source")
+
+
+@query(
+    rf"""WITH d AS (SELECT *, {NOISE_SQL} AS noise, regexp_matches(text, '(^|\n)(User:|Assistant:|Q:|A:|Speaker)') AS dialogue,
+      regexp_matches(text, '(def |class |#include|console\.log|public static|import )') AS code FROM documents)
+    SELECT CASE WHEN avg(dialogue::INT) > 0.4 THEN 'chat_dataset' WHEN avg(code::INT) > 0.3 THEN 'technical_dataset' WHEN count(DISTINCT lang) > 2 THEN 'multilingual_dataset' ELSE 'mixed_dataset' END AS probable_dataset_type,
+      count(*) AS total_documents, count(DISTINCT source) AS topics, round(avg(noise), 4) AS avg_noise_ratio, round(avg(dialogue::INT), 4) AS dialogue_ratio, round(avg(code::INT), 4) AS code_ratio, count(DISTINCT lang) AS languages FROM d"""
+)
+def dataset_profile(spark, d):
+    whole = prof.dataset_profile(t(spark, d, "documents"), topic="source")
+    return whole.select("probable_dataset_type", "total_documents", F.size("topics_detected").cast("long").alias("topics"), "avg_noise_ratio", "dialogue_ratio", "code_ratio", F.size("language_distribution").cast("long").alias("languages"))
+
+
+@query("SELECT lang, count(*) AS n FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) GROUP BY lang")
+def lang_head_sample(spark, d):
+    return prof.distribution(prof.head_sample(t(spark, d, "documents"), "doc_id", 100), "lang")
+
+
+def _lang_sql() -> str:
+    tokens = r"list_filter(regexp_split_to_array(regexp_replace(lower(left(text, 5000)), '[.,;:!?()]+', ' ', 'g'), '\s+'), lambda w: w <> '')"
+    scores = ", ".join(f"len(list_filter(w, lambda z: list_contains([{', '.join(repr(s) for s in stop)}], z))) AS {name}" for name, stop in lang.STOP_WORDS.items())
+    names = list(lang.STOP_WORDS)
+    pick = " ".join(f"WHEN {n} > 0 AND {n} = greatest({', '.join(names)}) THEN '{n}'" for n in names)
+    return f"SELECT doc_id, CASE {pick} ELSE 'unknown' END AS detected FROM (SELECT doc_id, {scores} FROM (SELECT doc_id, {tokens} AS w FROM documents))"
+
+
+@query(_lang_sql())
+def lang_detect(spark, d):
+    return t(spark, d, "documents").select("doc_id", lang.detect_language("text").alias("detected"))
+
+
+TERMS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), '\s+'), lambda w: length(w) > 1)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 100), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT doc_id, term, round(tf * (ln((SELECT count(*) FROM d)::DOUBLE / df) + 1), 6) AS score FROM tf JOIN df USING (term)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS INT) AS rank FROM s)
+    SELECT doc_id, rank, term, score FROM r WHERE rank <= 20"""
+)
+def keyword_topk(spark, d):
+    return kw.top_terms(t(spark, d, "documents"))
+
+
+@query()
+def keywords(spark, d):
+    return kw.keywords(t(spark, d, "documents"))
+
+
+@query(
+    f"""WITH tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest({TERMS_SQL}) AS term FROM documents) GROUP BY ALL), o AS (SELECT term, sum(tf) AS every FROM tf GROUP BY term),
+    s AS (SELECT lang, sum(tf) AS size FROM tf GROUP BY lang), m AS (SELECT avg(size) AS mean FROM s),
+    r AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY round(tf / size::DOUBLE * ln(1 + mean / every), 9) DESC, term) AS rank FROM tf JOIN o USING (term) JOIN s USING (lang), m)
+    SELECT lang, string_agg(term, '_' ORDER BY rank) AS topic FROM r WHERE rank <= 2 GROUP BY lang"""
+)
+def topic_names(spark, d):
+    return kw.topic_names(t(spark, d, "documents"), "lang")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def top_topics(spark, d):
+    return kw.top_topics(t(spark, d, "documents"), "source")
+
+
+@query(
+    r"""SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title,
+    list_transform(regexp_extract_all(html, '<h[123]>([^<]*)</h[123]>', 1), lambda h: trim(replace(h, '&amp;', '&'))) AS headings,
+    regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages"""
+)
+def html_title_headings_links(spark, d):
+    return t(spark, d, "pages").select("page_id", html_metadata("html").alias("m")).select("page_id", "m.title", "m.headings", "m.links")
+
+
+@query()
+def html_visible_text(spark, d):
+    return t(spark, d, "pages").select("page_id", html_text("html").alias("text"))
+
+
+@query(
+    r"""SELECT p_partkey, trim(replace(regexp_replace(trim(lower('This is a ' || replace(p_type, ' ', '_'))), '^(this message is a |this message is |this is a |this is |the message is |request to |a )', ''), '_', ' ')) AS label FROM part"""
+)
+def label_clean(spark, d):
+    return t(spark, d, "part").select("p_partkey", x.clean_label(F.concat(F.lit("This is a "), F.translate("p_type", " ", "_"))).alias("label"))
+
+
+@query("SELECT doc_id, CASE 1 + (doc_id % 5) WHEN 1 THEN 'negative' WHEN 2 THEN 'negative' WHEN 3 THEN 'neutral' ELSE 'positive' END AS sentiment FROM labels")
+def sentiment_map(spark, d):
+    return t(spark, d, "labels").select("doc_id", x.star_sentiment(F.concat((1 + F.col("doc_id") % 5).cast("string"), F.lit(" stars"))).alias("sentiment"))
+
+
+QUALITY_SQL = f"""CASE WHEN len({WORDS_SQL.format('text')}) = 0 THEN 0.0 WHEN len({WORDS_SQL.format('text')}) = 1 THEN 0.35 WHEN len({WORDS_SQL.format('text')}) <= 3 THEN 0.55
+    WHEN len({WORDS_SQL.format('text')}) <= 10 THEN 0.75 WHEN len({WORDS_SQL.format('text')}) <= 50 THEN 0.9 ELSE 0.95 END::DOUBLE"""
+
+
+@query(f"SELECT doc_id, {QUALITY_SQL} AS quality FROM documents")
+def text_quality(spark, d):
+    return t(spark, d, "documents").select("doc_id", x.text_quality("text").alias("quality"))
+
+
+# A document with labels has a classification and, by its toxicity, an intent; a cluster if its source is even.
+CONFIDENCE_SQL = f"""WITH s AS (SELECT doc_id, {QUALITY_SQL} AS tq, CASE WHEN l.quality = 1 THEN 0.9::DOUBLE WHEN l.quality = 0 THEN 0.4::DOUBLE END AS c, CASE WHEN l.toxic = 1 THEN 0.3::DOUBLE WHEN l.toxic = 0 THEN 0.8::DOUBLE END AS i,
+      CASE WHEN doc_id % 2 = 0 THEN 0.65::DOUBLE END AS k, least(0.5::DOUBLE + (doc_id % 7) * 0.1::DOUBLE, 0.95::DOUBLE) AS e FROM documents LEFT JOIN labels l USING (doc_id)),
+    w AS (SELECT doc_id, tq, coalesce(c * 0.3::DOUBLE, 0::DOUBLE) + coalesce(i * 0.25::DOUBLE, 0::DOUBLE) + e * 0.1::DOUBLE + coalesce(k * 0.05::DOUBLE, 0::DOUBLE) AS sw,
+      CASE WHEN c IS NULL THEN 0::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN i IS NULL THEN 0::DOUBLE ELSE 0.25::DOUBLE END + 0.1::DOUBLE + CASE WHEN k IS NULL THEN 0::DOUBLE ELSE 0.05::DOUBLE END AS w FROM s)
+    SELECT doc_id, round(greatest(least(sw / w * 0.85::DOUBLE + tq * 0.15::DOUBLE, 1::DOUBLE), 0::DOUBLE), 4) AS confidence_score FROM w"""
+
+
+def _scored(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    score = confidence(
+        "text",
+        classification=F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.4),
+        intent=F.when(F.col("toxic") == 1, 0.5).when(F.col("toxic") == 0, 0.8),
+        intent_name=F.when(F.col("toxic") == 1, "unknown").otherwise("greeting"),
+        entities=F.col("doc_id") % 7,
+        cluster=F.when(F.col("doc_id") % 2 == 0, 1),
+    )
+    return rows.select("doc_id", score.alias("confidence_score"))
+
+
+@query(CONFIDENCE_SQL)
+def confidence_score(spark, d):
+    return _scored(spark, d)
+
+
+@query(f"SELECT doc_id, confidence_score < 0.5 AS needs_review FROM ({CONFIDENCE_SQL})")
+def review_flag(spark, d):
+    return _scored(spark, d).select("doc_id", needs_review("confidence_score").alias("needs_review"))
+
+
+@query(f'SELECT count(*) AS "rows", round(avg(confidence_score), 4) AS avg_confidence, count(*) FILTER (confidence_score < 0.5) AS needs_review FROM ({CONFIDENCE_SQL})')
+def batch_summary(spark, d):
+    return prof.batch_summary(_scored(spark, d).withColumn("needs_review", needs_review("confidence_score")))
+
+
+@query(
+    """WITH e AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS ex FROM embeddings GROUP BY label), s AS (SELECT v.vec_id, e.label, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e.ex) AS sim FROM embeddings v, e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, CAST(label AS VARCHAR)) AS turn FROM s)
+    SELECT vec_id, CASE WHEN sim >= 0.55 THEN CAST(label AS VARCHAR) ELSE 'unknown' END AS intent, round(sim, 4) AS confidence FROM r WHERE turn = 1"""
+)
+def intent_detect(spark, d):
+    vectors = t(spark, d, "embeddings")
+    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    best = sim.best_exemplar("embedding", sim.exemplar_table(first, "label", "embedding"))
+    return vectors.select("vec_id", best.alias("b")).select("vec_id", "b.intent", F.round("b.confidence", 4).alias("confidence"))
+
+
+@query()
+def intent_of_text(spark, d):
+    return sim.detect_intent(t(spark, d, "conversations")).select("conv_id", "turn", "intent.intent", "intent.confidence")
+
+
+@query(
+    """WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v, vec_id FROM embeddings), c AS (SELECT i, avg(v) AS m FROM p GROUP BY i),
+    f AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), s AS (SELECT label, sum(v * m) AS score FROM p JOIN f USING (label, vec_id) JOIN c USING (i) GROUP BY label)
+    SELECT CAST(label AS VARCHAR) AS domain, round(score, 6) AS score FROM s ORDER BY s.score DESC, CAST(label AS VARCHAR) LIMIT 1"""
+)
+def domain_detect(spark, d):
+    vectors = t(spark, d, "embeddings")
+    templates = sim.exemplar_table(vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")), "label", "embedding")
+    return sim.best_domain(sim.mean_vector(vectors, "embedding"), "embedding", {k: v[0] for k, v in templates.items()})
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return kmeans(t(spark, d, "embeddings"), "embedding").select("vec_id", "cluster_id")
+
+
+#: The test texts hold none of the rules' entities, so a sentence with some goes before each.
+ENTITY_TEXT_SQL = "'Dr. Smith of Acme Inc paid $' || doc_id || ' for an AB' || doc_id % 7 || ' on 2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' at 10:15 and 10:15. ' || text"
+
+
+def _entity_sql() -> str:
+    parts = " UNION ALL ".join(rf"SELECT doc_id, {i} AS rule, '{label}' AS label, unnest(regexp_extract_all(left({ENTITY_TEXT_SQL}, 5000), '({pattern})', 1)) AS entity FROM documents" for i, (label, pattern) in enumerate(ent.RULES))
+    common = ", ".join(f"'{w}'" for w in ent.COMMON)
+    return f"SELECT DISTINCT doc_id, label, lower(entity) AS entity FROM ({parts}) WHERE length(trim(entity)) >= 2 AND NOT (regexp_full_match(trim(entity), '[0-9]+') AND label IN ('PERSON', 'ORG')) AND lower(trim(entity)) NOT IN ({common})"
+
+
+def _entities(spark, d):
+    text = F.expr(ENTITY_TEXT_SQL.replace("VARCHAR", "STRING"))
+    return t(spark, d, "documents").select("doc_id", ent.rule_entities(text).alias("entities"))
+
+
+@query(_entity_sql())
+def entity_extract(spark, d):
+    return _entities(spark, d).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.label", F.lower("e.text").alias("entity"))
+
+
+@query(f"WITH e AS ({_entity_sql()}) SELECT label, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM e GROUP BY label")
+def entity_distribution(spark, d):
+    return ent.entity_shares(_entities(spark, d))
+
+
+@query("SELECT conv_id, turn, '' AS system, text AS user, '' AS assistant FROM conversations")
+def export_openai(spark, d):
+    return export.chat_examples(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", *[F.get("messages", i)["content"].alias(role) for i, role in enumerate(("system", "user", "assistant"))])
+
+
+@query("SELECT CAST(n AS VARCHAR) AS id, text, doc_id, lang FROM (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE trim(text) <> ''")
+def export_rag(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("text"))
+    return export.rag_documents(docs, "doc_id").select("id", "text", "metadata.doc_id", "metadata.lang")
+
+
+@query()
+def export_csv_cells(spark, d):
+    turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return export.csv_cells(turns)
+
+
+@query(r"""SELECT event_id, regexp_extract('note ' || props || ' end', '(?s)\{.*\}') AS json FROM events WHERE contains(props, '{')""")
+def json_extract(spark, d):
+    text = x.outer_json(F.concat(F.lit("note "), "props", F.lit(" end")))
+    return t(spark, d, "events").select("event_id", text.alias("json")).where("json is not null")
+
+
+@query("SELECT event_id, event_type AS dataset_type, event_id % 2 = 0 AS valid FROM events")
+def json_validate(spark, d):
+    design = F.format_string('so: {"dataset_type":"%s","tasks":["t"],"ideal_schema":{"f":"d"},"labeling_strategy":{"type":"x","labels":["a"]}%s} done', "event_type", F.when(F.col("event_id") % 2 == 0, ',"optimal_format":"jsonl"').otherwise(""))
+    parsed = t(spark, d, "events").select("event_id", "event_type", parse_design(design).alias("r"))
+    return parsed.select("event_id", F.coalesce("r.decision.dataset_type", "event_type").alias("dataset_type"), F.col("r.error").isNull().alias("valid"))
+
+
+@query("SELECT event_id, unnest(map_values(CAST(CAST(props AS JSON) AS MAP(VARCHAR, VARCHAR)))) AS text FROM events")
+def folder_values(spark, d):
+    return t(spark, d, "events").select("event_id", F.explode(json_values("props")).alias("text"))
+
+
+@query()
+def auto_label(spark, d):
+    decision = Decision("qa", ("classification", "ner", "intent", "sentiment", "topic", "clustering"), ("This message is a greeting", "cancel_order", "complaint"))
+    done = label(t(spark, d, "conversations"), decision, Models(client=FakeClient()))
+    return done.select("conv_id", "turn", "classification.label", F.size("entities").alias("n_entities"), "intent.intent", F.col("sentiment.label").alias("sentiment"), "topic_id", "cluster_id", "qa_pairs", "confidence_score", "needs_review")

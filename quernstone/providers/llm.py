@@ -1,0 +1,113 @@
+"""Language-model clients: an interface, fallback between two, partition-wise generation, a fake for tests."""
+
+from __future__ import annotations
+
+import json
+import os
+import urllib.request
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default models, token limits and time limit.
+PRIMARY_MODEL, FALLBACK_MODEL = "llama-3.1-8b-instant", "claude-haiku-4-5-20251001"
+FALLBACK_TOKENS, TASK_TOKENS, TIMEOUT_S = 2048, 512, 30
+
+
+class Client(Protocol):
+    def generate(self, prompt: str, system: str = "") -> str: ...
+
+
+@dataclass(frozen=True)
+class HttpClient:
+    """Chat completions over HTTP in the common JSON form. The key comes from an environment variable, on the worker."""
+
+    url: str
+    model: str = PRIMARY_MODEL
+    key_variable: str = "GROQ_API_KEY"
+    max_tokens: int = TASK_TOKENS
+    temperature: float = 0.0
+    json_mode: bool = False
+
+    def generate(self, prompt: str, system: str = "") -> str:
+        messages = [*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": prompt}]
+        body = {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
+        if self.json_mode:
+            body["response_format"] = {"type": "json_object"}
+        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {os.environ[self.key_variable]}", "Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=TIMEOUT_S) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+
+@dataclass(frozen=True)
+class WithFallback:
+    """The first client, else the second. Both failing is a RuntimeError, no usable client a ValueError."""
+
+    primary: Client | None
+    fallback: Client | None = None
+
+    def generate(self, prompt: str, system: str = "") -> str:
+        if self.primary:
+            try:
+                return self.primary.generate(prompt, system)
+            except Exception:
+                if not self.fallback:
+                    raise ValueError("the primary model failed and there is no fallback") from None
+        if not self.fallback:
+            raise ValueError("no model client is configured")
+        try:
+            return self.fallback.generate(prompt, system)
+        except Exception as e:
+            raise RuntimeError("no model client could answer") from e
+
+
+@dataclass(frozen=True)
+class FakeClient:
+    """A deterministic client: a reply that may name the prompt's length and first line."""
+
+    reply: str = "reply to {chars} characters: {line}"
+
+    def generate(self, prompt: str, system: str = "") -> str:
+        return self.reply.replace("{chars}", str(len(prompt))).replace("{line}", prompt.strip().split("\n")[0])
+
+
+@dataclass(frozen=True)
+class Task:
+    output: str
+    prompt: str
+
+
+#: By dataset type: the output column and the prompt.
+GENERATIVE = {
+    "resume": Task("summary", "Write a summary of the following text.\n{text}"),
+    "chatbot_training": Task("chatbot_response", "Answer the user as a helpful chatbot.\nUser: {text}"),
+    "qa": Task("qa_pairs", "Write questions with answers that the following text gives.\n{text}"),
+    "instruction_tuning": Task("instruction_format", "Rewrite the following as an example for instruction tuning.\n{text}"),
+    "code_dataset": Task("code_samples", "Write code samples with explanations for the following.\n{text}"),
+    "rag": Task("rag_answer", "Context:\n{context}\n\nQuestion:\n{text}\n\nAnswer from the context."),
+}
+
+
+def render(task: str, text: str, context: str = "") -> str:
+    return GENERATIVE[task].prompt.replace("{context}", context).replace("{text}", text)
+
+
+def generate_column(df: DataFrame, task: str, client: Client, text: str = "text", out: str | None = None, context: str = "") -> DataFrame:
+    """df with the client's answers, a partition at a time; a failing call gives null, so one row can't end the job."""
+
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            replies = []
+            for t in texts:
+                try:
+                    replies.append(client.generate(render(task, t or "", context)))
+                except Exception:
+                    replies.append(None)
+            yield pd.Series(replies, dtype=object)
+
+    answers.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out or GENERATIVE[task].output, F.pandas_udf(answers, "string")(F.col(text)))
