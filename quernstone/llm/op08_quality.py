@@ -9,6 +9,7 @@ of labelled rows (FTRL-proximal, a document an update); scoring is a sparse dot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -83,32 +84,37 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def fit(texts: list[tuple[list, np.ndarray]], epochs: int) -> np.ndarray:
+    """Weights after `epochs` passes over blocks of (vectors, labels), a vector being (slots, values)."""
+    model = Ftrl(1 << BITS)
+    for _ in range(epochs):
+        for vectors, y in texts:
+            for (slot, value), label in zip(vectors, y):
+                model.update(slot, value, label)
+    return model.weights().astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality", epochs: int = EPOCHS) -> np.ndarray:
     """Weights from at most `rows` labelled documents (a row of labels without text or label is left out).
 
-    Features are made on the executors; the driver gets at most `rows` sparse vectors, and updates
-    in the order of a hash of the key.
+    Updates are one after the other, so one task gets the sample, whose size is bounded, in the order of
+    a hash of the key. Only the weights come to the driver.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     chosen = known.withColumn("turn", F.xxhash64(key)).orderBy("turn", key).limit(rows)
-    joined = docs.select(key, text_of(text).alias("text")).join(chosen, key).select("turn", "y", F.lower("text").alias("text"))
+    joined = docs.select(key, F.lower(text_of(text)).alias("text")).join(F.broadcast(chosen), key).select("turn", "y", "text")
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = []
         for batch in batches:
+            y = batch.column(1).to_numpy()
             for a, b, first, slot, value in blocks_of(batch.column(2)):
-                lists = [pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(x, t)).cast(pa.list_(t)) for x, t in ((slot.astype(np.int32), pa.int32()), (value.astype(np.float32), pa.float32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.int32()), *lists], names=["turn", "y", "slot", "value"])
+                slot, value = slot.astype(np.int32), value.astype(np.float32)
+                seen.append(([(slot[i:j], value[i:j]) for i, j in pairwise(first)], y[a:b]))
+        yield pa.RecordBatch.from_arrays([pa.array([fit(seen, epochs).tobytes()], pa.binary())], names=["weights"])
 
-    got = joined.mapInArrow(vectors, "turn long, y int, slot array<int>, value array<float>").toArrow().combine_chunks().sort_by("turn")
-    model = Ftrl(1 << BITS)
-    if len(got):
-        y = got.column("y").to_numpy().astype(float)
-        lists = [got.column(c).combine_chunks() for c in ("slot", "value")]
-        first, slot, value = lists[0].offsets.to_numpy(), lists[0].values.to_numpy(), lists[1].values.to_numpy().astype(float)
-        for _ in range(epochs):
-            for i in range(len(y)):
-                model.update(slot[first[i] : first[i + 1]], value[first[i] : first[i + 1]], y[i])
-    return model.weights().astype(np.float32)
+    row = joined.repartition(1).sortWithinPartitions("turn", "text").mapInArrow(learn, "weights binary").first()
+    return np.frombuffer(row["weights"], dtype=np.float32) if row else np.zeros(1 << BITS, dtype=np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
