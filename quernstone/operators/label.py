@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.confidence import GENERATED, confidence, needs_review
 from ..functions.text import star_sentiment
 from ..providers import models
-from ..providers.llm import GENERATIVE, Client, generate_column
+from ..providers.clients import GENERATIVE, Client, generate_column
 from .clustering import kmeans
 from .entities import rule_entities
 from .similarity import classify, detect_intent

@@ -22,7 +22,7 @@ from ..operators.clustering import kmeans
 from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
 from ..operators.label import Decision, Models, label
 from ..providers.brain import parse_design
-from ..providers.llm import FakeClient
+from ..providers.clients import FakeClient
 from ..sinks import export
 from ..sources.folder import json_values
 from ..sources.html import html_metadata, html_text

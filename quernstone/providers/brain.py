@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col, outer_json
-from .llm import Client
+from .clients import Client
 
 # Fields of a design.
 DESIGN = "dataset_type string, tasks array<string>, ideal_schema map<string,string>, labeling_strategy struct<type:string,labels:array<string>>, optimal_format string"

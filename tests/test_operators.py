@@ -12,7 +12,7 @@ from quernstone.operators.dedup import content_hash, drop_duplicates, first_per
 from quernstone.operators.label import Decision, Models, label
 from quernstone.operators.language import detect_language
 from quernstone.providers import brain
-from quernstone.providers.llm import FakeClient, WithFallback
+from quernstone.providers.clients import FakeClient, WithFallback
 
 
 def test_dedup_keeps_the_first(spark):
