@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """vertex, label from edges a, b (long): label is the smallest vertex of the component.
 
     Each round works on an edge list that never grows; the number of rounds grows with the logarithm
-    of the longest path. Vertices without an edge to another don't appear.
+    of the longest path. Vertices without an edge to another don't appear. The smallest neighbours are
+    tables of their own, so that the join can split the edges of a vertex with very many of them.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -22,9 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = sign
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct())
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())

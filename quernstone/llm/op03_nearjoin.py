@@ -193,7 +193,7 @@ def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, runs: int = R
 
     def counted(rows: DataFrame) -> DataFrame:
         rows = cut(rows)
-        many = rows.groupBy("key").count().where("count > 1")
+        many = cut(rows.groupBy("key").count().where("count > 1"))  # a table, so that a hot key's rows can be split in the join
         return cut(rows.join(many, "key"))
 
     nodes = counted(_paths(sets, runs, START_DEPTH, threshold))
@@ -205,7 +205,8 @@ def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, runs: int = R
         if not over.take(1):
             break
         if depth == MAX_DEPTH:
-            edges.append(over.join(over.groupBy("key").agg(F.min("rep").alias("b")), "key").select(F.col("rep").alias("a"), "b").where("a <> b"))
+            first = cut(over.groupBy("key").agg(F.min("rep").alias("b")))  # a table for the same reason
+            edges.append(over.join(first, "key").select(F.col("rep").alias("a"), "b").where("a <> b"))
             break
         nodes = counted(_deeper(over.join(sets.select("rep", "sketch"), "rep"), threshold))
         depth += 1
