@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, a bound on the score, Smith-Waterman alignment.
 
 The test items are the stated query set: they are taken in blocks of bounded size, each broadcast
-and held against all documents where they lie, so no text is shuffled. Of each item, the word n-grams found
-in the fewest documents of the corpus are its seeds (counted over all documents). A document that holds a seed is aligned, word by
-word, with the item around the seeds; the score is the best local alignment over the score of a full copy.
+and held against all documents where they lie, so no text is shuffled. No step loses a copy. At a score of min_score at
+least `need` of an item's L words are matched, so at least k of any L - need + k of them: of each item, that many words found in the
+fewest documents of the corpus are its seeds (counted over all documents), and a document with k of them is looked at. Each matched
+word adds MATCH at most and every other word between costs something, which bounds the score of each stretch of
+the document; only stretches whose bound reaches min_score are aligned, word by word, with the item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,64 +19,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordhash import U64, ngrams, text_blocks, words_of
+from .wordhash import U64, Words, text_blocks, words_of
 
-SEED_WORDS = 3
+#: Seeds of an item that a document must hold (all that an item needs, if fewer).
+SEEDS = 4
 #: Bytes of item texts in a block, which the driver holds and broadcasts (a longer item is a block of its own).
 BLOCK_BYTES = 8 << 20
-#: Share of an item's n-grams that become seeds, the rarest ones; ties with the last of them count.
-SEED_SHARE = 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-_FILTER_BITS = 22
+MISS = max(MISMATCH, GAP)
+#: (document, item) pairs of seeds that are counted at once.
+_PAIRS = 1 << 22
 
 
 @dataclass
 class Items:
-    """Words of the items of a block; grams[k] is sorted, with item[k] and place[k] of each occurrence."""
+    """The items of a block as numbers of words; word number k has seeds item[first[k] : first[k + 1]], each `times` times."""
 
     ids: list
+    hashes: np.ndarray
     words: list[np.ndarray]
-    grams: np.ndarray
+    need: np.ndarray
+    first: np.ndarray
     item: np.ndarray
-    place: np.ndarray
-    lengths: list[int]
+    times: np.ndarray
 
-    def filter(self) -> np.ndarray:
-        bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        bits[(self.grams & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        return bits
+    def numbers(self, words: Words) -> np.ndarray:
+        """The number of each word of a block of texts; len(hashes) for words of no item."""
+        if not len(self.hashes):
+            return np.zeros(len(words.hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, words.hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words.hashes, at, len(self.hashes))
 
 
-def items_of(rows: list[tuple]) -> Items:
-    """rows: (id, lower-cased text). An item of fewer than SEED_WORDS words is one seed as a whole."""
-    words, grams, item, place = [], [], [], []
-    for i, (_, text) in enumerate(rows):
+def items_of(rows: list[tuple], min_score: float) -> Items:
+    """rows: (id, lower-cased text). All words are seeds."""
+    words = []
+    for _, text in rows:
         data = np.frombuffer(text.encode(), dtype=np.uint8)
-        got = words_of(data, np.array([0, len(data)]))
-        words.append(got.hashes)
-        if len(got.hashes):
-            found, at = ngrams(got, min(SEED_WORDS, len(got.hashes)))
-            grams.append(found)
-            item.append(np.full(len(found), i))
-            place.append(at)
-    whole = [np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((grams, U64), (item, np.int64), (place, np.int64))]
-    order = np.argsort(whole[0], kind="stable")
-    lengths = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
-    return Items([r[0] for r in rows], words, *(x[order] for x in whole), lengths)
-
-
-def rare_seeds(items: Items, df: dict[int, int]) -> Items:
-    """The items with only the rarest SEED_SHARE of each one's n-grams."""
-    frequency = np.array([df.get(int(g), 0) for g in items.grams.astype(np.int64)], dtype=np.int64)
-    order = np.lexsort((frequency, items.item))
-    first = np.searchsorted(items.item[order], np.arange(len(items.words) + 1))
-    keep = np.zeros(len(items.grams), dtype=bool)
-    for a, b in zip(first[:-1], first[1:]):
-        if b > a:
-            own = order[a:b]
-            limit = frequency[own[int(np.ceil(SEED_SHARE * (b - a))) - 1]]
-            keep[own[frequency[own] <= limit]] = True
-    return Items(items.ids, items.words, items.grams[keep], items.item[keep], items.place[keep], items.lengths)
+        words.append(words_of(data, np.array([0, len(data)])).hashes)
+    hashes, number = np.unique(np.concatenate([np.zeros(0, dtype=U64), *words]), return_inverse=True)
+    words = np.split(number, np.cumsum([len(w) for w in words]))[:-1]
+    need = np.array([max(1, int(np.ceil(min_score * len(w) - 1e-9))) for w in words], dtype=np.int64)
+    return _seeded(Items([r[0] for r in rows], hashes, words, need, *[np.zeros(0, np.int64)] * 3), words)
+
+
+def _seeded(items: Items, seeds: list[np.ndarray]) -> Items:
+    """items with these words of each as its seeds."""
+    pairs, times = np.unique(np.concatenate([np.zeros(0, np.int64), *(x * len(seeds) + i for i, x in enumerate(seeds))]), return_counts=True)
+    number, item = np.divmod(pairs, max(1, len(seeds)))
+    return replace(items, first=np.searchsorted(number, np.arange(len(items.hashes) + 1)), item=item, times=times)
+
+
+def rare_seeds(items: Items, df: np.ndarray) -> Items:
+    """The items with as seeds only the rarest words of each, so many that no copy can do without SEEDS of them."""
+    seeds = []
+    for words, need in zip(items.words, items.need):
+        order = np.argsort(df[words], kind="stable")
+        seeds.append(words[order[: len(words) - need + min(SEEDS, need)]])
+    return _seeded(items, seeds)
 
 
 def local_alignment(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
@@ -92,52 +94,66 @@ def local_alignment(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def windows(starts: np.ndarray, length: int, size: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a text of `size` words around the places where an item would start; overlapping ones are joined."""
-    pad = max(5, length // 3)
-    lo, hi = None, None
-    for s in np.sort(starts):
-        a, b = max(0, int(s) - pad), min(size, int(s) + length + pad)
-        if hi is not None and a <= hi:
-            hi = max(hi, b)
-            continue
-        if hi is not None:
-            yield lo, hi
-        lo, hi = a, b
-    if hi is not None:
-        yield lo, hi
-
-
-def _hits(words, items: Items, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the first word, gram) of all n-grams of the block's texts that are grams of items."""
-    at, grams = [], []
-    for n in items.lengths:
-        found, where = ngrams(words, n)
-        maybe = np.flatnonzero(bits[(found & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-        found, where = found[maybe], where[maybe]
-        sure = items.grams[np.minimum(np.searchsorted(items.grams, found), len(items.grams) - 1)] == found
-        at.append(where[sure])
-        grams.append(found[sure])
-    return (np.concatenate(at), np.concatenate(grams)) if at else (np.zeros(0, np.int64), np.zeros(0, U64))
-
-
-def document_frequencies(lower: DataFrame, items: Items) -> dict[int, int]:
-    """In how many rows of lower (key, text) each n-gram of the items occurs."""
+def windows(hits: np.ndarray, text: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
+    """(text, from, to) of stretches that can hold an alignment of score `least`, in words of texts laid one after the other.
+
+    hits: the places of words that are in the item; text: the text of each. A hit adds at most MATCH, any other word costs at least
+    MISS. An alignment with no part below zero lies between two places where this sum reaches a new minimum.
+    """
+    if not len(hits):
+        return
+    before = (MATCH - MISS) * np.arange(len(hits)) + MISS * hits
+    before -= text * (before.max() - before.min() + 1)  # each text begins with a new minimum
+    lowest = np.minimum.accumulate(before)
+    first = np.flatnonzero(np.concatenate([[True], lowest[1:] < lowest[:-1]]))
+    last = np.concatenate([first[1:], [len(hits)]]) - 1
+    for i in np.flatnonzero(np.maximum.reduceat(before + MATCH - lowest, first) >= least - 1e-9):
+        yield int(text[first[i]]), int(hits[first[i]]), int(hits[last[i]]) + 1
+
+
+def _pairs(text: np.ndarray, number: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(text, item) of all pairs with enough seeds, by item; text, number: the words of texts, in order of the texts."""
+    own = np.unique(text * len(items.hashes) + number)
+    text, number = np.divmod(own, max(1, len(items.hashes)))
+    times = items.first[number + 1] - items.first[number]
+    ends = np.cumsum(times)
+    found, a = [np.zeros(0, np.int64)], 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - times[a] + _PAIRS, side="right")))
+        if b < len(text):  # a text is never cut
+            b = int(np.searchsorted(text, text[b])) if text[b] > text[a] else int(np.searchsorted(text, text[a], side="right"))
+        t = times[a:b]
+        which = np.repeat(items.first[number[a:b]] - (ends[a:b] - t - ends[a] + times[a]), t) + np.arange(t.sum())
+        pairs, at = np.unique(np.repeat(text[a:b], t) * len(items.ids) + items.item[which], return_inverse=True)
+        seeds = np.bincount(at, weights=items.times[which], minlength=len(pairs))
+        found.append(pairs[seeds >= np.minimum(items.need, SEEDS)[pairs % len(items.ids)]])
+        a = b
+    text, item = np.divmod(np.concatenate(found), max(1, len(items.ids)))
+    order = np.argsort(item, kind="stable")
+    return text[order], item[order]
+
+
+def document_frequencies(lower: DataFrame, items: Items) -> np.ndarray:
+    """In how many rows of lower (key, text) each word of the items occurs."""
     shared = lower.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, totals = shared.value, {}
-        bits = items.filter()
+        items = shared.value
+        size = len(items.hashes)
+        totals = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(1)):
                 words = words_of(data, offsets)
-                at, grams = _hits(words, items, bits)
-                pairs = np.unique(np.stack([np.searchsorted(words.first, at, side="right").astype(U64), grams]), axis=1)
-                for gram, n in zip(*np.unique(pairs[1], return_counts=True)):
-                    totals[int(gram)] = totals.get(int(gram), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(totals), dtype=U64).astype(np.int64), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["gram", "n"])
+                number = items.numbers(words)
+                at = np.flatnonzero(number < size)
+                totals += np.bincount(np.unique((np.searchsorted(words.first, at, side="right") - 1) * size + number[at]) % size, minlength=size)
+        there = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(totals[there], pa.int64())], names=["word", "n"])
 
-    return {r["gram"]: r["n"] for r in lower.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(len(items.hashes), dtype=np.int64)
+    for r in lower.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        df[r["word"]] = r["n"]
+    return df
 
 
 def _aligned(lower: DataFrame, items: Items, min_score: float, item_type: str) -> DataFrame:
@@ -146,29 +162,31 @@ def _aligned(lower: DataFrame, items: Items, min_score: float, item_type: str) -
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        bits = items.filter()
+        mark = np.zeros(len(items.hashes) + 1, dtype=bool)
         for batch in batches:
             rows, found = [], []
             for a, _, data, offsets in text_blocks(batch.column(1)):
                 words = words_of(data, offsets)
-                at, grams = _hits(words, items, bits)
-                lo, hi = np.searchsorted(items.grams, grams), np.searchsorted(items.grams, grams, side="right")
-                times = hi - lo
-                which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at = np.repeat(at, times)
-                text, item, start = np.searchsorted(words.first, at, side="right") - 1, items.item[which], at - items.place[which]
-                order = np.lexsort((start, item, text))
-                text, item, start = text[order], item[order], start[order]
-                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(text) else []
+                number = items.numbers(words)
+                at = np.flatnonzero(number < len(items.hashes))
+                text, item = _pairs(np.searchsorted(words.first, at, side="right") - 1, number[at], items)
+                new, counts = np.flatnonzero(np.diff(item, prepend=-1)), words.counts()
                 for b, e in zip(new, [*new[1:], len(text)]):
-                    own, target = words.hashes[words.first[text[b]] : words.first[text[b] + 1]], items.words[item[b]]
-                    best = (0.0, 0)
-                    for w0, w1 in windows(start[b:e] - words.first[text[b]], len(target), len(own)):
-                        score, end = local_alignment(target, own[w0:w1])
-                        best = max(best, (score, -(w0 + end)))
-                    if best[0] >= min_score * MATCH * len(target):
-                        rows.append(a + int(text[b]))
-                        found.append((items.ids[item[b]], best[0] / (MATCH * len(target)), -best[1]))
+                    target, own = items.words[item[b]], text[b:e]
+                    sizes = counts[own]
+                    starts = np.cumsum(sizes) - sizes
+                    laid = number[np.repeat(words.first[own] - starts, sizes) + np.arange(sizes.sum())]
+                    mark[target] = True
+                    hits = np.flatnonzero(mark[laid])
+                    mark[target] = False
+                    best: dict[int, tuple[float, int]] = {}
+                    for t, w0, w1 in windows(hits, np.searchsorted(starts, hits, side="right") - 1, min_score * MATCH * len(target)):
+                        score, end = local_alignment(target, laid[w0:w1])
+                        best[t] = max(best.get(t, (0.0, 0)), (score, int(starts[t]) - w0 - end))
+                    for t, (score, end) in best.items():
+                        if score >= min_score * MATCH * len(target):
+                            rows.append(a + int(own[t]))
+                            found.append((items.ids[item[b]], score / (MATCH * len(target)), -end))
             ids, scores, ends = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, item_arrow), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], names=["doc", "item", "score", "end_word"])
 
@@ -180,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5,
     """key, item, score, end_word: a row for each document and item of which it holds a copy, whole or edited.
 
     score is the best local alignment of the words (case and punctuation aside) over that of a full
-    copy, min_score to 1; end_word is the word of the document after which it ends. Null or empty texts match nothing;
+    copy, min_score to 1, and every pair at min_score has its row; end_word is the word of the document after which it ends. Null or empty texts match nothing;
     rows that are repeated give repeated pairs. No rows on either side give no rows.
     """
     lower = docs.select(key, F.lower(text_of(text)).alias("lower text"))
@@ -191,8 +209,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5,
     result = None
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "lower text"), F.lit(blocks)) == i).orderBy("id", "lower text")
-        held = items_of([(r[0], r[1]) for r in block.collect()])  # about BLOCK_BYTES
-        if len(held.grams):
+        held = items_of([(r[0], r[1]) for r in block.collect()], min_score)  # about BLOCK_BYTES
+        if len(held.hashes):
             held = rare_seeds(held, document_frequencies(lower, held))
         found = _aligned(lower, held, min_score, item_type)
         result = found if result is None else result.unionByName(found)

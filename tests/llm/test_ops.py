@@ -434,6 +434,37 @@ def test_contaminated(spark, monkeypatch, block):
     assert leak.contaminated(frame(spark, texts[:3]), benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1 << 22, 50])
+def test_contaminated_finds_what_alignment_finds(spark, monkeypatch, pairs):
+    """Single copies with many edits: evenly replaced words, random ones, insertions that break every 3-gram, halves."""
+    monkeypatch.setattr(leak, "_PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(8)
+    items = [rng_words(rng, int(n), 3000) for n in rng.integers(15, 40, 30)]
+    items[0] = rng_words(rng, 20, 3000)
+    texts = []
+    for k, item in enumerate(items):
+        copy = list(item)
+        if k == 0 or k % 5 == 4:
+            copy[3::4] = ["edited"] * len(copy[3::4])
+        elif k % 5 == 1:
+            for at in rng.choice(len(copy), int(len(copy) * rng.uniform(0.2, 0.3)), replace=False):
+                copy[at] = rng_words(rng, 1, 3000)[0]
+        elif k % 5 == 2:
+            copy = [x for i, w in enumerate(copy) for x in ([w, "more"] if i % 2 else [w])]
+        elif k % 5 == 3:
+            copy = copy[: -(-len(copy) // 2)]
+        else:
+            del copy[2::3]
+        w = rng_words(rng, 120, 3000)
+        at = int(rng.integers(120))
+        texts.append([*w[:at], *copy, *w[at:]])
+    truth = {(d, k): s for d, t in enumerate(texts) for k, x in enumerate(items) if (s := plain_alignment(x, t) / (leak.MATCH * len(x))) >= 0.5}
+    assert {(k, k) for k in range(30)} <= set(truth)
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in leak.contaminated(frame(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    assert got == truth
+
+
 # -- all --------------------------------------------------------------------
 
 
