@@ -21,7 +21,7 @@ ROUNDS = 6
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{6,128})",
+    "secret": r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{6,})",
     "key_id": r"(?i:\bAKIA[0-9A-Z]{16}\b)",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
@@ -31,6 +31,14 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Layouts, longest first, that are tried at each group of a card or IBAN candidate that fails validation as a whole.
+SHORTER = [
+    *(rf"^[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{3}}[ -]?[0-9]{{{n}}}(?![0-9])" for n in (3, 2, 1)),
+    *(rf"^[0-9]{{{n}}}(?![0-9])" for n in range(19, 12, -1)),
+    r"^[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])",
+    *(rf"^[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{{n}}}(?![0-9])" for n in (5, 4)),
+    *(rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![A-Z0-9])" for n in range(7, 1, -1) for tail in ("(?: ?[A-Z0-9]{1,3})", "")),
+]
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 _DAYS = (_LAST_DAY - _FIRST_DAY).days + 1
@@ -223,21 +231,71 @@ def pseudonym(value: Column, secret: str) -> Column:
     return F.get(F.filter(F.array(*tries), lambda x: x["new"].isNotNull()), 0)
 
 
+def _valid(value: Column) -> Column:
+    """Whether a card number or IBAN is valid."""
+    packed = F.regexp_replace(value, "[ -]", "")
+    return F.when(value.rlike("^[0-9]"), F.pmod(luhn_sum(packed), F.lit(10)) == 0).otherwise(F.length(packed).between(15, 34) & (_mod97(packed) == 1))
+
+
+def _inside(value: Column) -> Column:
+    """struct(at, value): the first valid card number or IBAN in a candidate that fails as a whole; null if there is none or it doesn't fail."""
+    starts = F.filter(F.sequence(F.lit(1), F.length(value)), lambda p: (p == 1) | F.substr(value, p - 1, F.lit(1)).isin(" ", "-"))
+    one = lambda p, form: F.struct(p.alias("at"), F.regexp_substr(F.substr(value, p), form).alias("value"))
+    tries = F.flatten(F.transform(starts, lambda p: F.transform(F.array(*[F.lit(x) for x in SHORTER]), lambda form: one(p, form))))
+    first = F.get(F.filter(tries, lambda x: x["value"].isNotNull() & _valid(x["value"])), 0)
+    return F.when(value.rlike(f"^(?:{PATTERNS['card']}|{PATTERNS['iban']})$"), F.when(~_valid(value), first))
+
+
+def _first_cut(text: Column) -> Column:
+    """struct(before, value, after) around the first valid value inside a failed candidate; null if there is none."""
+
+    def around(hits: Column) -> Column:
+        def at(found: Column) -> Column:
+            k = (F.array_position(F.transform(found, lambda x: x.isNotNull()), True) - 1).cast("int")
+            total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+            own = F.get(found, k)
+            start = total(F.slice(F.split(text, ANY, -1), F.lit(1), k + 1)) + total(F.slice(hits, F.lit(1), k)) + own["at"] - 1
+            return F.when(k >= 0, F.struct(F.substr(text, F.lit(1), start).alias("before"), own["value"].alias("value"), F.substr(text, start + F.length(own["value"]) + 1).alias("after")))
+
+        return let(F.transform(hits, _inside), at)
+
+    return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), around)
+
+
+def segments(text: Column) -> Column:
+    """text in parts, cut around each valid value that a longer candidate hides, so that it and what follows are found."""
+
+    def step(state: Column, _: Column) -> Column:
+        def go_on(cut: Column) -> Column:
+            more = F.struct(F.concat(state["done"], F.array(cut["before"], cut["value"])).alias("done"), cut["after"].alias("rest"), F.lit(True).alias("open"))
+            return F.when(cut.isNotNull(), more).otherwise(F.struct(state["done"].alias("done"), state["rest"].alias("rest"), F.lit(False).alias("open")))
+
+        return F.when(state["open"], let(_first_cut(state["rest"]), go_on)).otherwise(state)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), text.alias("rest"), F.lit(True).alias("open"))
+    turns = F.sequence(F.lit(1), F.call_function("div", F.length(text), F.lit(13)).cast("int") + 1)  # a value has 13 characters at least
+    cut = F.aggregate(turns, start, step, lambda x: F.concat(x["done"], F.array(x["rest"])))
+    hidden = F.exists(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: _inside(v).isNotNull())
+    return F.when(hidden, cut).otherwise(F.array(text))
+
+
 def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """docs with personal data of `text` replaced, and pii, the list of (kind, new) in order of the text.
 
-    Emails, secrets, key ids, IBANs, IPv4 addresses, dates, phone, social security and card numbers. Candidates that fail
-    validation stay as they are. Null text stays null, with an empty list. Rows are independent, so repeated
+    Emails, secrets, key ids, IBANs, IPv4 addresses, dates, phone, social security and card numbers. Of candidates that fail
+    validation, card numbers and IBANs inside are replaced; the rest stays as it is. Null text stays null, with an empty list. Rows are independent, so repeated
     rows get the same result; other columns are kept.
     """
     body = text_of(text)
-    hits = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    made = F.transform(hits, lambda v: F.struct(v.alias("old"), pseudonym(v, secret).alias("made")))
+
+    def pieces(part: Column) -> Column:
+        between, hits = F.split(part, ANY, -1), F.regexp_extract_all(part, F.lit(ANY), F.lit(0))
+        return F.flatten(F.zip_with(between, hits, lambda a, b: F.array(F.struct(a.alias("old"), F.lit(False).alias("hit")), F.struct(F.coalesce(b, F.lit("")).alias("old"), b.isNotNull().alias("hit")))))
+
+    made = F.transform(F.flatten(F.transform(segments(body), pieces)), lambda x: F.struct(x["old"].alias("old"), F.when(x["hit"], pseudonym(x["old"], secret)).alias("made")))
     none = F.array().cast("array<struct<old:string,made:struct<kind:string,new:string>>>")
     # Every kind has a digit, an at sign or an equals or colon; texts without them skip the search.
     found = docs.withColumn("pii found", F.when(body.rlike("[0-9@=:]"), made).otherwise(none))
-    new = F.transform("pii found", lambda x: F.coalesce(x["made"]["new"], x["old"]))
-    between = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    joined = F.array_join(F.transform("pii found", lambda x: F.coalesce(x["made"]["new"], x["old"])), "")
     pii = F.transform(F.filter("pii found", lambda x: x["made"].isNotNull()), lambda x: x["made"])
-    return found.withColumn(text, F.when(F.size("pii found") > 0, joined).otherwise(F.col(text))).withColumn("pii", pii).drop("pii found")
+    return found.withColumn(text, F.when(F.size(pii) > 0, joined).otherwise(F.col(text))).withColumn("pii", pii).drop("pii found")

@@ -251,6 +251,28 @@ def test_pseudonyms(spark):
     assert other != rows[0]["text"]
 
 
+def test_pseudonyms_beside_others(spark):
+    card, iban, spaced = "4111111111111111", "ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"
+    cases = [
+        (f"card {card} 05/27", [card], ["card"]),
+        (f"card {card} 123", [card], ["card"]),
+        (f"{spaced} 123", [spaced], ["card"]),
+        (f"no 12 {card} ok", [card], ["card"]),
+        (f"{card} 555-123-4567", [card, "123-4567"], ["card", "phone"]),
+        (f"{card} 05/27/2024 {card} 12 {card} 123", [card, "05/27/2024"], ["card", "date", "card", "card"]),
+        (f"{iban} EUR", [iban], ["iban"]),
+        (f"{iban} EUR {iban} EUR", [iban], ["iban", "iban"]),
+        ("token=" + "aB3" * 70, ["aB3" * 5], ["secret"]),
+        ("4111111111111112 05/27 ES92 2100 0418 4502 0005 1332 EUR", [], []),
+    ]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, [c[0] for c in cases]), "key").collect()}
+    for i, (old, gone, kinds) in enumerate(cases):
+        assert [p["kind"] for p in rows[i]["pii"]] == kinds, old
+        assert len(rows[i]["text"]) == len(old) and not any(x in rows[i]["text"] for x in gone)
+        assert kinds or rows[i]["text"] == old
+    assert rows[0]["text"].endswith(" 05/27") and rows[6]["text"].endswith(" EUR") and luhn(rows[0]["pii"][0]["new"]) and iban_ok(rows[6]["pii"][0]["new"])
+
+
 def test_feistel_text_is_a_permutation(spark):
     codes = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     there = codes.select("v", pii.feistel_text(F.col("v"), "k", "x").alias("p"))
