@@ -1,10 +1,8 @@
-"""Main text of HTML pages by line-block distribution.
+"""Main text of HTML pages by lines.
 
 Markup is stripped into lines, one for each block element; menus, notices, adverts, forms, comments
-and the like leave blank lines instead. Text lengths are summed over sliding windows of WINDOW lines. Where the
-sum surges from nothing a stretch of text begins, where it dives to nothing it ends, and
-the text between is kept: every stretch within the page's article element, or, on a page
-without one, the heaviest stretch and those that come near it.
+and the like are left out by tag, role, class and id. Of a page with an article element every line within it is kept, of a page
+without one every line that isn't mostly links. Nothing is dropped for being short or for standing apart.
 """
 
 from __future__ import annotations
@@ -13,16 +11,12 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-WINDOW = 3
-#: A stretch outside of an article counts if it has this share of the heaviest one's text.
-NEAR = 0.35
 #: Lines mostly made of links, outside of an article, are menus.
 LINKS = 0.6
 
@@ -67,7 +61,7 @@ def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
-    """(text, in an article?, mostly links?) of each line; boilerplate becomes WINDOW blank lines."""
+    """(text, in an article?, mostly links?) of each line; boilerplate ends a line and is left out."""
     lines, inside, menus = [], [], []
     parts: list[str] = []
     linked = at = articles = 0
@@ -83,11 +77,6 @@ def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
         parts.clear()
         linked = 0
 
-    def blank() -> None:
-        lines.extend([""] * WINDOW)
-        inside.extend([articles > 0] * WINDOW)
-        menus.extend([False] * WINDOW)
-
     def text(piece: str) -> None:
         nonlocal linked
         parts.append(piece)
@@ -112,7 +101,6 @@ def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
                 continue
         if not closing and name not in _VOID and not tag[4].endswith("/") and boilerplate(name, tag[4], articles > 0):
             end_line()
-            blank()
             skip, depth = name, 1
             continue
         if name == "a":
@@ -127,27 +115,11 @@ def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
     return lines, inside, menus
 
 
-def stretches(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) pairs: runs of lines between which the windowed sums of sizes stay above nothing."""
-    sums = np.convolve(sizes, np.ones(window, dtype=np.int64))[window - 1 :]  # of lines i to i + window - 1
-    full = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    change = np.diff(full)
-    return list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()))
-
-
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by a space; empty if there is none."""
     lines, inside, menus = lines_of(html)
-    if not lines:
-        return ""
-    article = any(i and x for i, x in zip(inside, lines))
-    lines = [x if (i if article else not m) else "" for x, i, m in zip(lines, inside, menus)]
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    found = stretches(sizes)
-    if not article and found:
-        weight = [sizes[a:b].sum() for a, b in found]
-        found = [f for f, w in zip(found, weight) if w >= NEAR * max(weight)]
-    return " ".join(x for a, b in found for x in lines[a:b] if x)
+    article = any(inside)
+    return " ".join(x for x, i, m in zip(lines, inside, menus) if (i if article else not m))
 
 
 def extract_main(pages: DataFrame, key: str = "page_id", html: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:

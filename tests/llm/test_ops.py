@@ -328,6 +328,11 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+def test_main_text_around_adverts():
+    long, short = " ".join(["word"] * 60), "The last paragraph."
+    assert main_text(f'<div><h2>Head</h2><div class="ad">Buy</div><p>{long}</p><div class=ad>Buy</div><p>{short}</p></div>') == f"Head {long} {short}"
+
+
 def test_extract_main(spark):
     rows = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article>é</article>")], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in extract_main(rows).fillna({"url": "-"}).collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "-", "é", 1)]
