@@ -5,7 +5,7 @@
    on to the children of the coordinates that the node's hash chooses, 1 / (threshold * COORDS) of them, so
    that two sets at the threshold are expected to share one child. A path is computed from the
    set alone, so the split is one pass; buckets with more than BUCKET sets are split further, up to
-   MAX_DEPTH. RUNS independent trees give each linked pair at the threshold a recall of over 0.99.
+   MAX_DEPTH. RUNS independent trees; the recall of a pair at the threshold falls with depth (see README).
 3. Small buckets are brute-forced on the sampled tokens (a loose filter); a bucket that has not become small by
    MAX_DEPTH shares many tokens and stays one candidate group. Components of this are candidate groups.
 4. Exact check: within a candidate group, every pair's Jaccard similarity is computed from the whole sets, in blocks
