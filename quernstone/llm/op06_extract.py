@@ -1,14 +1,18 @@
-"""Main text of HTML pages by lines.
-
-Markup is stripped into lines, one for each block element; menus, notices, adverts, forms, comments
-and the like are left out by tag, role, class and id. Of a page with an article element every line within it is kept, of a page
-without one every line that isn't mostly links. Nothing is dropped for being short or for standing apart.
+"""Main text of HTML pages by line-block distribution.
+
+Markup is stripped into lines, one for each block element. Elements that are named or marked as a menu, header, footer, sidebar,
+notice, advert, form or comments are markup too and leave no line. The weights of lines (characters outside of
+links) are summed over sliding windows of WINDOW lines. Where the sums fall below DIVE the text has ended; a
+stretch between such dives counts if its windows surge to SURGE, and what is kept runs from the first stretch that surges to the
+end of the last, with all that lies between but runs of links. Headings weigh DIVE at least, so a title goes with its text. An article or main element
+states surge and dive points itself: lines outside of it are dropped, those inside weigh DIVE at least.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Lines mostly made of links, outside of an article, are menus.
-LINKS = 0.6
+#: Lines of a window; characters in a window from which text begins, and below which it has ended.
+WINDOW, SURGE, DIVE = 4, 120, 48
+#: Share of a line's characters in links, and number of links in one line, from which it is part of a menu.
+LINKS, MENU_LINKS = 0.6, 3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|title)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -28,21 +34,28 @@ _TAG = re.compile(
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("nav footer aside form button select head dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar".split())
-_HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus replies cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended widget toolbar pagination pager login".split()
+#: Class names and ids, whole, of the parts that aren't the article.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments comment-list commentlist disqus disqus_thread replies respond cookie cookies cookie-consent consent notice gdpr popup modal overlay newsletter subscribe signup share sharing social social-share related related-posts related-articles recommended widget toolbar pagination pager login".split()
+)
+#: The same parts with an addition before or after, as in "ad-slot", "cookie_bar" or "main-nav".
+_ADDED = re.compile(
+    r"(?:ad|ads|advert|advertisement|cookie|cookies|gdpr|newsletter|sidebar|breadcrumbs?|comments?|nav|menu|navbar|promo|sponsored|share|social|popup|modal)[-_][\w-]+"
+    r"|[\w-]+[-_](?:ad|ads|advert|advertisement|sidebar|nav|navbar|menu|navigation|breadcrumbs?|comments)|(?:site|page|main|global|top)[-_]?(?:header|footer)|(?:cookie|consent|promo|ad|top)[-_]?(?:banner|notice|bar)"
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its name or what its attributes say."""
+    """Whether an element is one of the parts that aren't the article, by its name or what its attributes say."""
     if name in _OUT or name == "header" and not in_article:
         return True
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
+    if not attributes.strip() or name in ("html", "body", "article", "main") and "comment" not in attributes:
         return False
     for attribute, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
@@ -55,27 +68,35 @@ def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
                 return True
             case "role" if value in _ROLES:
                 return True
-            case "class" | "id" if _HINTS & {*re.split(r"[^a-z]+", value)}:
-                return True
+            case "class" | "id" if any(x in _PARTS or _ADDED.fullmatch(x) for x in value.split()):
+                return name not in ("html", "body", "main")
     return False
 
 
-def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
-    """(text, in an article?, mostly links?) of each line; boilerplate ends a line and is left out."""
-    lines, inside, menus = [], [], []
+@dataclass
+class Line:
+    text: str
+    weight: int  # characters outside of links, DIVE at least in headings
+    inside: bool  # of an article or main element
+    linked: bool  # mostly links
+    links: int
+
+
+def lines_of(html: str) -> list[Line]:
+    """The lines of a page in order; parts that aren't the article end a line and are left out."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = at = articles = 0
-    skip, depth, in_link = "", 0, False
+    linked = at = articles = links = 0
+    skip, depth, in_link, heading = "", 0, False, False
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal linked, links
         text = " ".join((unescape(raw) if "&" in raw else raw).split()) if (raw := "".join(parts)) else ""
         if text:
-            lines.append(text)
-            inside.append(articles > 0)
-            menus.append(linked > LINKS * len(text))
+            weight = max(0, len(text) - linked)
+            lines.append(Line(text, max(weight, DIVE) if heading else weight, articles > 0, linked > LINKS * len(text), links))
         parts.clear()
-        linked = 0
+        linked = links = 0
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -92,7 +113,7 @@ def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
         closing = bool(tag[2])
         if skip:
             if name in ("article", "main") and not closing and skip not in ("article", "main", "section", "div"):
-                skip = ""  # the boilerplate element was never closed
+                skip = ""  # the element was never closed
             else:
                 if name == skip and not (tag[4].endswith("/") and not closing):
                     depth += -1 if closing else 1
@@ -105,30 +126,83 @@ def lines_of(html: str) -> tuple[list[str], list[bool], list[bool]]:
             continue
         if name == "a":
             in_link = not closing
+            links += in_link
         elif name in _BLOCKS:
             end_line()
+            heading = name in _HEADINGS and not closing
             if name in ("article", "main"):
                 articles = max(0, articles - 1) if closing else articles + 1
     if not skip and at < len(html):
         text(html[at:])
     end_line()
-    return lines, inside, menus
+    return lines
+
+
+def text_stretch(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> tuple[int, int]:
+    """[from, to) of the lines between the first surge and the last dive of the curve of window sums.
+
+    A line is low if a whole window over it sums to less than `dive`. A run of lines that aren't low is a stretch; it surges if a
+    window over it reaches `surge`, or the largest sum of the page if that is smaller. Pages of fewer lines than a window have
+    no curve: all of it is kept that has a weight.
+    """
+    n = len(weights)
+    if n < window:
+        kept = [i for i, w in enumerate(weights) if w]
+        return (kept[0], kept[-1] + 1) if kept else (0, 0)
+    sums = [sum(weights[i : i + window]) for i in range(n - window + 1)]
+    surge = min(surge, max(sums))
+    low, full = [False] * n, [False] * n
+    for i, s in enumerate(sums):
+        if s < dive:
+            low[i : i + window] = [True] * window
+        if s >= surge:
+            full[i : i + window] = [True] * window
+    first, last, start = n, 0, None
+    for i in range(n + 1):
+        if i < n and not low[i]:
+            start = i if start is None else start
+        elif start is not None:
+            if any(full[start:i]):
+                first, last = min(first, start), i
+            start = None
+    while first < last and not weights[first]:
+        first += 1
+    while first < last and not weights[last - 1]:
+        last -= 1
+    return (first, last) if first < last else (0, 0)
+
+
+def _without_menus(lines: list[Line]) -> Iterator[str]:
+    """The texts of lines less menus: WINDOW or more lines in a row that are mostly links, or one such line with MENU_LINKS links."""
+    run: list[Line] = []
+    for line in [*lines, None]:
+        if line and line.linked and not line.inside:
+            run.append(line)
+            continue
+        if len(run) < WINDOW:
+            yield from (x.text for x in run if x.links < MENU_LINKS)
+        run = []
+        if line:
+            yield line.text
 
 
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by a space; empty if there is none."""
-    lines, inside, menus = lines_of(html)
-    article = any(inside)
-    return " ".join(x for x, i, m in zip(lines, inside, menus) if (i if article else not m))
+    lines = lines_of(html)
+    if any(x.inside for x in lines):
+        lines = [x for x in lines if x.inside]
+    first, last = text_stretch([max(x.weight, DIVE) if x.inside else x.weight for x in lines])
+    return " ".join(_without_menus(lines[first:last]))
 
 
 def extract_main(pages: DataFrame, key: str = "page_id", html: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns of `also`, text and n_chars (its code points) for each row of pages.
 
-    Null html counts as empty and gives an empty text, as does a page of boilerplate alone. Broken and cut-off markup is
-    read as far as it goes. Repeated rows give the same text; no rows give no rows.
+    Null html counts as empty and gives an empty text, as does a page without a stretch of text. Broken and cut-off markup is
+    read as far as it goes. Repeated rows give the same text; no rows give no rows. Columns of `also` named text
+    or n_chars are replaced.
     """
-    columns = [key, *also]
+    columns = [key, *(c for c in also if c not in ("text", "n_chars"))]
     prepared = pages.select(*columns, text_of(html).alias("whole html"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from quernstone.llm.components import components
 from quernstone.llm.op01_mix import mix, mixture
 from quernstone.llm.op02_dedup import exact_dedup, misra_gries
 from quernstone.llm.op05_shard import feistel, place_rows, shard
-from quernstone.llm.op06_extract import extract_main, main_text
+from quernstone.llm.op06_extract import extract_main
 from quernstone.llm.op07_lines import kept_lines, line_dedup
 from quernstone.llm.op08_quality import quality
 from quernstone.llm.op09_chat import chat_format, formatted, read_back
@@ -308,36 +308,6 @@ def test_shards(spark, corpus):
     assert sorted((r["shard"], r["slot"]) for r in shard(twins, 7).collect()) == sorted((i % 7, i // 7) for i in range(50))
 
 
-# -- 6 extraction -----------------------------------------------------------
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        ('<body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>T &amp; x</h1><p><b>One<br><p>two\n three</article><footer>f</footer>', "T & x One two three"),
-        ('<div class="menu"><a href=x>Home</a> <a href=y>About</a></div><div id=content><p>First text.</p><p>Second &lt;b&gt;</p></div><div class="comments"><p>nice</p></div>', "First text. Second <b>"),
-        ("<div><nav>menu <article><p>kept</p></article></div>", "kept"),
-        ('<article>a<script>if (a<b) "</p>"</script><aside>no</aside><form>f</form>b</article>', "a b"),
-        ('<p>c <a href="x>y">z</a><script>cut off', "c z"),
-        ("<nav><a>x</a></nav>", ""),
-        ("a < b", "a < b"),
-        ("", ""),
-    ],
-)
-def test_main_text(html, text):
-    assert main_text(html) == text
-
-
-def test_main_text_around_adverts():
-    long, short = " ".join(["word"] * 60), "The last paragraph."
-    assert main_text(f'<div><h2>Head</h2><div class="ad">Buy</div><p>{long}</p><div class=ad>Buy</div><p>{short}</p></div>') == f"Head {long} {short}"
-
-
-def test_extract_main(spark):
-    rows = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article>é</article>")], "page_id long, url string, html string")
-    assert sorted(tuple(r) for r in extract_main(rows).fillna({"url": "-"}).collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "-", "é", 1)]
-
-
 # -- 7 lines ----------------------------------------------------------------
 
 
