@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from .op10_decontaminate import contaminated
 #: Weights that the sources take in turn, what the mix holds of all words, and the most of a source.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
 SHARDS = 24
-#: Key of the pseudonyms; production sets its own.
-PII_KEY = "quernstone"
+#: Session setting with the key of the pseudonyms. Without it a random key holds for this driver, whose pseudonyms nobody can undo.
+PII_KEY = "spark.quernstone.pii.key"
+_random_key = secrets.token_hex(32)
 LINE_MIN_DOCS, LINE_MIN_CHARS = 10, 1
 QUALITY_THRESHOLD = 0.3
 #: Share of a full copy's alignment score from which a document counts as contaminated.
@@ -42,7 +45,8 @@ def op3_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "text", "pii", F.size("pii").alias("n_pii"))
+    key = spark.conf.get(PII_KEY, None) or _random_key
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key).select("doc_id", "text", "pii", F.size("pii").alias("n_pii"))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
