@@ -2,39 +2,45 @@
 
 1. A document is its set of hashed word 5-grams. Equal sets are one class (exact and trivially edited copies).
 2. Chosen paths: a set is represented by COORDS min-wise sampled tokens. From each node of a tree a set goes
-   on to the children of the coordinates that the node's hash chooses, 1 / (threshold * COORDS) of them, so
+   on to the children of the coordinates that the node's hash chooses, 1 / threshold of them on average, so
    that two sets at the threshold are expected to share one child. A path is computed from the
-   set alone, so the split is one pass; buckets with more than BUCKET sets are split further, up to
-   MAX_DEPTH. RUNS independent trees; the recall of a pair at the threshold falls with depth (see README).
-3. Small buckets are brute-forced on the sampled tokens (a loose filter); a bucket that has not become small by
-   MAX_DEPTH shares many tokens and stays one candidate group. Components of this are candidate groups.
-4. Exact check: within a candidate group, every pair's Jaccard similarity is computed from the whole sets, in blocks
-   of BLOCK sets, so that no task holds a large group. Links are counted, not listed: a
-   group of m different near copies costs m * m comparisons but m * m / BLOCK rows.
+   set alone, so the split is one pass. Buckets with more than BUCKET sets are split further, up to
+   MAX_DEPTH. Trees are repeated until the recall of a pair at the threshold, which is a sum over what its samples can be
+   (`recall`), reaches RECALL at START_DEPTH; sets that pass through larger buckets get as many more trees as MAX_DEPTH asks for.
+3. Small buckets are brute-forced on the sampled tokens (a loose filter), which leaves clusters within a bucket. A bucket
+   that stays large at MAX_DEPTH is held against one of its sets, and what isn't linked with that one against all, in cells.
+4. Exact check: in each distinct cluster every pair's Jaccard similarity is computed from the whole sets. Classes are the
+   components of these verified links alone.
+5. Links are counted, not listed: in classes of three sets or more all pairs are compared in blocks of BLOCK sets,
+   so that no task holds a large class. A class of m different near copies costs m * m comparisons but m * m / BLOCK rows.
+
+Tokens are compared by 32 bits of their hashes: in a pair with 1,000 tokens some two agree by chance once in 9,000 pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
+from math import comb, floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, small, text_of
 from .components import components
 from .wordhash import U64, Words, mix64, ngrams, text_blocks, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDS, RUNS, START_DEPTH, MAX_DEPTH, BUCKET, BLOCK = 64, 10, 2, 5, 256, 512
-#: Share of equal sampled tokens from which a pair of a small bucket is a candidate: over 3 deviations below 0.8.
-LOOSE = 0.62
+COORDS, START_DEPTH, MAX_DEPTH, BUCKET, BLOCK = 64, 2, 6, 256, 128
+#: Share of the pairs at the threshold that are to be found; pairs above it are found more surely.
+RECALL = 0.999
+#: Share of equal sampled tokens from which a pair of a small bucket is a candidate: over 4 deviations below 0.8.
+LOOSE = 0.58
 _ROWS = 1 << 15  # rows of a block of texts
 _FACTOR = mix64(np.arange(1, COORDS + 1, dtype=U64)) | U64(1)
 _SALT = mix64(np.arange(1001, 1001 + COORDS, dtype=U64))
-_CHOOSE = mix64(np.arange(2001, 2001 + COORDS, dtype=U64))
 _TOKENS = 48  # bits of a token within a block
 
 
@@ -65,7 +71,7 @@ def sketch(first: np.ndarray, token: np.ndarray) -> np.ndarray:
     return out
 
 
-_PRINTS = "doc long, n int, k1 long, k2 long, sketch binary, tokens binary"
+_PRINTS = "n int, k1 long, k2 long, sketch binary, tokens binary"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -83,27 +89,61 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     columns += [pa.array([x.tobytes() for x in samples], pa.binary()), pa.array([short[i:j].tobytes() for i, j in pairwise(first)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "k1", "k2", "sketch", "tokens"])
 
-    return docs.mapInArrow(prints, _PRINTS)
+    return docs.mapInArrow(prints, f"doc {docs.schema['doc'].dataType.simpleString()}, {_PRINTS}")
 
 
 def _samples(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), COORDS)
 
 
+def recall(similarity: float, runs: int, depth: int, threshold: float = THRESHOLD, loose: float = LOOSE) -> float:
+    """The chance that a pair shares a node at `depth` in one of `runs` trees and passes the filter.
+
+    A sampled token is shared with the chance `similarity`. Given the number of shared ones, the nodes that a pair shares
+    are a branching process with the tree's number of children.
+    """
+    sure, more = floor(1 / threshold), 1 / threshold % 1
+    total = 0.0
+    for shared in range(int(np.ceil(loose * COORDS)), COORDS + 1):
+        died = 0.0
+        for _ in range(depth):
+            child = 1 - shared / COORDS * (1 - died)
+            died = child**sure * (1 - more + more * child)
+        total += comb(COORDS, shared) * similarity**shared * (1 - similarity) ** (COORDS - shared) * (1 - died**runs)
+    return total
+
+
+def runs_for(depth: int, threshold: float = THRESHOLD, target: float = RECALL) -> int:
+    """The fewest trees with which a pair at the threshold is found with a chance of `target`."""
+    runs = 1
+    while recall(threshold, runs, depth, threshold) < target:
+        runs += 1
+        if runs > 1000:
+            raise ValueError("the filter alone loses more than the recall allows")
+    return runs
+
+
 def _choose(row: np.ndarray, path: np.ndarray, samples: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: for each (row, path) the children (row, path) that the path's hash chooses."""
-    limit = U64(int((1 << 64) / (threshold * COORDS)))
-    at, i = np.nonzero(mix64(path[:, None] ^ _CHOOSE[None, :]) < limit)
+    """One level down: for each (row, path) the children (row, path) of the coordinates that the path's hash chooses.
+
+    Every node chooses the same number but for the fraction of 1 / threshold, so that few pairs are lost by chance.
+    """
+    drawn = mix64(path ^ U64(0xC0FFEE))
+    count = np.full(len(path), floor(1 / threshold)) + ((drawn >> U64(32)) < U64(int((1 / threshold % 1) * (1 << 32))))
+    at = np.repeat(np.arange(len(path)), count)
+    turn = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)).astype(U64)
+    step = (drawn[at] >> U64(6)) | U64(1)  # odd: no coordinate twice
+    i = ((drawn[at] + turn * step) % U64(COORDS)).astype(np.int64)
     return row[at], mix64(path[at] + mix64(samples[row[at], i].astype(U64) + _SALT[i]))
 
 
-def _paths(sets: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
-    """key, rep for each node at `depth` that a set (rep, sketch) reaches in each run."""
+def _paths(sets: DataFrame, runs: range, depth: int, threshold: float) -> DataFrame:
+    """key, rep for each node at `depth` that a set (rep, sketch) reaches in each of these trees."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, samples = batch.column(0).to_numpy(), _samples(batch.column(1))
-            for run in range(runs):
+            for run in runs:
                 row, path = np.arange(len(reps)), np.full(len(reps), mix64(np.array([run + 1], dtype=U64))[0])
                 for _ in range(depth):
                     row, path = _choose(row, path, samples, threshold)
@@ -160,60 +200,109 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = best
 
 
-def _bucket_edges(buckets: DataFrame, loose: float) -> DataFrame:
-    """Spanning edges a, b of the candidate pairs of each bucket (key, rep, sketch), at most BUCKET sets each."""
+def _clusters(cells: DataFrame, loose: float) -> DataFrame:
+    """cluster, rep: sets of a cell (key, rep, far, sketch) that pairs with at least `loose` equal samples connect, clusters of two or more.
+
+    Only pairs with a set that is far are looked at. The same sets have the same cluster in whatever cell they meet.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            ids, reps = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(reps)], names=["cluster", "rep"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
         for group in groups_of(batches, 1):
             if len(group) < 2:
                 continue
-            reps, samples = group.column(1).to_numpy(), _samples(group.column(2))
+            reps, far, samples = group.column(1).to_numpy(), group.column(2).to_numpy(zero_copy_only=False), _samples(group.column(3))
             if len(reps) == 2:
-                if (samples[0] == samples[1]).mean() >= loose:
-                    a.append(reps[:1])
-                    b.append(reps[1:])
+                label = np.zeros(2, np.int64) if (samples[0] == samples[1]).mean() >= loose else np.arange(2)
             else:
-                label = forest(np.stack([(samples == s).mean(axis=1) >= loose for s in samples]))
-                other = np.flatnonzero(label != np.arange(len(label)))
-                a.append(reps[other])
-                b.append(reps[label[other]])
-            if len(a) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                linked = np.zeros((len(reps), len(reps)), dtype=bool)
+                for i in np.flatnonzero(far):
+                    linked[i] = linked[:, i] = (samples == samples[i]).mean(axis=1) >= loose
+                label = forest(linked)
+            for first in np.flatnonzero(np.bincount(label, minlength=len(reps)) > 1):
+                own = np.unique(reps[label == first])
+                if len(own) > 1:
+                    out.append((np.full(len(own), mix64(own.astype(U64)).sum(dtype=U64).astype(np.int64)), own))
+            if len(out) >= 4096:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return cells.select("key", "rep", "far", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(found, "cluster long, rep long")
+
+
+def _verified(clusters: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links (similarity of the whole sets at least threshold) that connect what is linked in each cluster (cluster, rep)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            reps = group.column(1).to_numpy()
+            joined = np.zeros((len(reps), len(reps)), dtype=bool)
+            for i, hits in similar_pairs(_tokens_of(group.column(2)), None, threshold):
+                joined[i, hits] = joined[hits, i] = True
+            label = forest(joined)
+            other = np.flatnonzero(label != np.arange(len(label)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[other]), pa.array(reps[label[other]])], names=["a", "b"])
 
-    return buckets.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").where("a <> b")
+    rows = clusters.distinct().join(tokens, "rep").select("cluster", "rep", "tokens")
+    return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(compare, "a long, b long")
 
 
-def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
-    """Edges a, b that connect all sets (rep, sketch) which chosen paths bring together."""
+def _tokens_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.unique(np.frombuffer(x, dtype=np.uint32)) for x in column.to_pylist()]
+
+
+def links_between(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
+    """Verified links a, b that connect all sets (rep, sketch) which chosen paths bring together; tokens: rep, tokens."""
+    samples = sets.select("rep", "sketch")
+    clusters, over = [], []
 
     def counted(rows: DataFrame) -> DataFrame:
         rows = cut(rows)
         many = cut(rows.groupBy("key").count().where("count > 1"))  # a table, so that a hot key's rows can be split in the join
         return cut(rows.join(many, "key"))
 
-    nodes = counted(_paths(sets, runs, START_DEPTH, threshold))
-    depth, edges = START_DEPTH, []
-    while True:
-        small = nodes.where(F.col("count") <= BUCKET)
-        edges.append(_bucket_edges(small.join(sets.select("rep", "sketch"), "rep"), LOOSE))
-        over = nodes.where(F.col("count") > BUCKET)
-        if not over.take(1):
-            break
-        if depth == MAX_DEPTH:
-            first = cut(over.groupBy("key").agg(F.min("rep").alias("b")))  # a table for the same reason
-            edges.append(over.join(first, "key").select(F.col("rep").alias("a"), "b").where("a <> b"))
-            break
-        nodes = counted(_deeper(over.join(sets.select("rep", "sketch"), "rep"), threshold))
-        depth += 1
-    result = edges[0]
-    for more in edges[1:]:
-        result = result.unionByName(more)
-    return result
+    def settle(nodes: DataFrame) -> DataFrame | None:
+        """Clusters of the small buckets; what is over, if anything."""
+        clusters.append(cut(_clusters(nodes.where(F.col("count") <= BUCKET).join(samples, "rep").withColumn("far", F.lit(True)), LOOSE)))
+        large = nodes.where(F.col("count") > BUCKET)
+        return large if large.take(1) else None
+
+    first = runs_for(START_DEPTH, threshold, target)
+    large = settle(counted(_paths(samples, range(first), START_DEPTH, threshold)))
+    if large is not None:
+        hot = samples.join(cut(large.select("rep").distinct()), "rep")
+        more = settle(counted(_paths(hot, range(first, runs_for(MAX_DEPTH, threshold, target)), START_DEPTH, threshold)))
+        large = large if more is None else large.unionByName(more)
+    for _ in range(START_DEPTH, MAX_DEPTH):
+        if large is not None:
+            large = settle(counted(_deeper(large.join(samples, "rep"), threshold)))
+    if large is not None:
+        pivots = cut(large.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")))
+        pairs = large.join(pivots, "key").where("rep <> pivot").select("pivot", "rep").distinct()
+        named = pairs.withColumn("cluster", F.xxhash64("pivot", "rep")).select("cluster", F.explode(F.array("pivot", "rep")).alias("rep"))
+        stars = cut(_verified(named, tokens, threshold))
+        over.append(stars)
+        near = cut(stars.select(F.greatest("a", "b").alias("rep"), F.least("a", "b").alias("pivot"), F.lit(False).alias("far")).distinct())
+        known = large.join(pivots, "key").join(near, ["pivot", "rep"], "left").select("key", "rep", F.coalesce("far", F.col("rep") != F.col("pivot")).alias("far"), F.ceil(F.col("n") / BUCKET).cast("int").alias("cells"))
+        # Each set in its own cell, those that aren't linked with the pivot in all.
+        own = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
+        dealt = known.withColumn("cell", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(own))))
+        cells = cut(dealt.select(F.xxhash64("key", "cell").alias("key"), "rep", "far"))
+        open_cells = cut(cells.where("far").select("key").distinct())
+        clusters.append(cut(_clusters(cells.join(open_cells, "key", "left_semi").join(samples, "rep"), LOOSE)))
+    all_clusters = clusters[0]
+    for c in clusters[1:]:
+        all_clusters = all_clusters.unionByName(c)
+    result = _verified(all_clusters, tokens, threshold)
+    return result.unionByName(over[0]) if over else result
 
 
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -237,67 +326,59 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, thresh
         yield i, np.flatnonzero(hit)
 
 
-def _exact(members: DataFrame, threshold: float) -> DataFrame:
-    """kind, a, b from rows (g, p, q, side, whole, rep, weight, tokens), a group (g, p, q) being two blocks of a candidate group.
-
-    kind 0: set a is linked with other sets of weight b. 1: a and b are connected. 2: a's class is b (group of one block).
-    """
+def _counted(members: DataFrame, threshold: float) -> DataFrame:
+    """rep, near from rows (g, p, q, side, rep, weight, tokens), a group (g, p, q) being two blocks of a class: rep is linked with sets of weight near."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 3):
-            p, q, whole = group.column(1)[0].as_py(), group.column(2)[0].as_py(), group.column(4)[0].as_py()
-            side, reps, weight = (group.column(i).to_numpy() for i in (3, 5, 6))
-            tokens = [np.unique(np.frombuffer(x, dtype=np.uint32)) for x in group.column(7).to_pylist()]
+            p, q = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            side, reps, weight = (group.column(i).to_numpy() for i in (3, 4, 5))
+            tokens = _tokens_of(group.column(6))
             left = np.arange(len(reps)) if p == q else np.flatnonzero(side == p)
             right = left if p == q else np.flatnonzero(side == q)
             if not len(left) or not len(right):
                 continue
             linked = np.zeros(len(reps), dtype=np.int64)
-            joined = np.zeros((len(reps), len(reps)), dtype=bool)
             for i, hits in similar_pairs([tokens[x] for x in left], None if p == q else [tokens[x] for x in right], threshold):
                 mine, theirs = left[i], right[hits]
                 linked[mine] += weight[theirs].sum()
                 linked[theirs] += weight[mine]
-                joined[mine, theirs] = joined[theirs, mine] = True
-            label = forest(joined)
-            kind, a, b = [np.zeros(len(reps), np.int32)], [reps], [linked]
-            other = np.flatnonzero(label != np.arange(len(label))) if not whole else np.flatnonzero(joined.any(axis=1))
-            kind.append(np.full(len(other), 2 if whole else 1, np.int32))
-            a.append(reps[other])
-            b.append(reps[label[other]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kind, a, b)], names=["kind", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(linked)], names=["rep", "near"])
 
-    return members.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(compare, "kind int, a long, b long")
+    return members.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(compare, "rep long, near long")
 
 
-def near_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id, links, copies for each row of docs.
 
     class_id is the smallest key among all documents connected by links (similarity of word 5-gram sets of
     at least threshold); links counts the other documents linked with this one, copies those with the same set.
     A text of under five words is one token, all its words; null and empty texts and those
-    without words have the same set. Rows that are repeated count one by one. Null keys come last; a class of null keys only has the class_id
-    null. Other columns are ignored; no rows give no rows.
+    without words have the same set. Rows that are repeated count one by one. Keys may be of any type with an order; null ones come
+    last, and a class of null keys only has the class_id null. Other columns are ignored; no rows give no rows.
     """
-    lower = docs.select(F.col(key).cast("long").alias("doc"), F.lower(text_of(text)).alias("text"))
+    lower = docs.select(F.col(key).alias("doc"), F.lower(text_of(text)).alias("text"))
     prints = cut(fingerprints(lower).withColumn("row", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "sketch")).alias("best")
     classes = cut(prints.groupBy("k1", "k2", "n").agg(best, F.count("*").alias("weight")).select("k1", "k2", "n", "weight", F.col("best.doc").alias("doc"), F.col("best.row").alias("rep"), F.col("best.sketch").alias("sketch")))
-    group = cut(components(cut(candidate_edges(classes, threshold, runs))))
-
-    blocks = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = group.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    tokens = prints.select(F.col("row").alias("rep"), "tokens")
+    links = cut(links_between(classes, tokens, threshold, target))
+    group = cut(components(links))
+
+    sizes = cut(group.groupBy("label").agg(F.count("*").alias("sets")))
+    weights = classes.select("rep", "weight")
+    # Two sets are linked with each other; more are compared in blocks, each pair of blocks by itself.
+    dealt = group.join(sizes, "label").where("sets > 2").withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("label").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), (F.col("blocks") == 1).alias("whole"), F.col("vertex").alias("rep")
+        F.col("label").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), F.col("vertex").alias("rep")
     )
-    told = cut(_exact(paired.join(classes.select("rep", "weight"), "rep").join(prints.select(F.col("row").alias("rep"), "tokens"), "rep").select("g", "p", "q", "side", "whole", "rep", "weight", "tokens"), threshold))
-
-    links = told.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("near"))
-    edges = told.where("kind = 1").select("a", "b")
-    label = told.where("kind = 2").select(F.col("a").alias("rep"), F.col("b").alias("label"))
-    if edges.take(1):
-        label = label.unionByName(components(edges).toDF("rep", "label"))
-    linked = links.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(classes.select("rep", "doc"), "rep")
+    counted = _counted(paired.join(weights, "rep").join(tokens, "rep").select("g", "p", "q", "side", "rep", "weight", "tokens"), threshold)
+    two = group.join(sizes.where("sets = 2"), "label").join(weights.withColumnRenamed("rep", "vertex"), "vertex")
+    partner = two.groupBy("label").agg(F.sum("weight").alias("both"))
+    twos = two.join(partner, "label").select(F.col("vertex").alias("rep"), (F.col("both") - F.col("weight")).alias("near"))
+
+    near = counted.unionByName(twos).groupBy("rep").agg(F.sum("near").alias("near"))
+    linked = cut(near.join(group.select(F.col("vertex").alias("rep"), "label"), "rep").join(classes.select("rep", "doc"), "rep"))
     lowest = linked.groupBy("label").agg(F.min("doc").alias("class_doc"))
     settled = linked.join(lowest, "label").select("rep", "near", "class_doc")
     named = classes.select("k1", "k2", "n", "weight", "rep", F.col("doc").alias("rep_doc")).join(settled, "rep", "left")
@@ -310,11 +391,11 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, k
     )
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each class the document with the smallest key stays.
 
     Rows that repeat a key stay or go together; rows with a null key stay if their class has no other key.
     """
-    classes = near_join(docs, threshold, runs, key, text)
-    stay = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("kept key")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(stay["kept key"]), "left_semi")
+    classes = near_join(docs, threshold, target, key, text)
+    gone = cut(classes.groupBy(F.col(key).alias("gone key")).agg(F.max(F.col(key).eqNullSafe(F.col("class_id"))).alias("stays")).where(~F.col("stays")).select("gone key"))
+    return docs.join(small(gone), docs[key].eqNullSafe(gone["gone key"]), "left_anti")

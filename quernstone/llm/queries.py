@@ -125,6 +125,31 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+SQL_OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i : i + 4], ' '))))) END AS grams FROM words
+), sets AS MATERIALIZED (
+  SELECT grams, min(doc_id) AS rep, count(*) AS weight, len(grams) AS n FROM grams GROUP BY grams
+), tokens AS MATERIALIZED (
+  SELECT rep, n, unnest(grams) AS token FROM sets
+), links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.rep <> b.rep AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+), reach AS (
+  SELECT rep AS a, rep AS b FROM sets
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), classes AS (
+  SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a
+), near AS (
+  SELECT l.a AS rep, sum(s.weight) AS near FROM links l JOIN sets s ON l.b = s.rep GROUP BY l.a
+)
+SELECT g.doc_id, c.class_id, CAST(coalesce(near.near, 0) + s.weight - 1 AS BIGINT) AS links, CAST(s.weight - 1 AS BIGINT) AS copies
+FROM grams g JOIN sets s USING (grams) JOIN classes c USING (rep) LEFT JOIN near USING (rep)
+"""
+
 SQL_OP7 = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -166,4 +191,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op7_lines": SQL_OP7, "op9_chat": SQL_OP9}
+ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op3_nearjoin": SQL_OP3, "op7_lines": SQL_OP7, "op9_chat": SQL_OP9}

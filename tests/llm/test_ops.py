@@ -183,8 +183,9 @@ def brute_near(texts, threshold=0.8):
     return [(find(i), links[i]) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("bucket", "block"), [(256, 512), (2, 3)])
-def test_near_join(spark, corpus, monkeypatch, bucket, block):
+@pytest.mark.parametrize(("bucket", "block", "depth"), [(256, 128, 6), (2, 3, 3)])
+def test_near_join(spark, corpus, monkeypatch, bucket, block, depth):
+    monkeypatch.setattr(near, "MAX_DEPTH", depth)
     monkeypatch.setattr(near, "BUCKET", bucket)
     monkeypatch.setattr(near, "BLOCK", block)
     got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near.near_join(frame(spark, corpus)).collect()}
@@ -207,6 +208,47 @@ def test_near_join_recall_at_the_threshold(spark):
     assert all(got[i] <= truth[i][1] for i in range(len(texts)))
 
 
+def test_recall_is_what_trees_give():
+    """Samples that agree as often as the similarity says, walked through the trees."""
+    rng = np.random.default_rng(11)
+    for depth, runs in ((2, 3), (4, 5)):
+        n, found = 1500, 0
+        a = rng.integers(0, 1 << 32, (n, near.COORDS), dtype=np.uint32)
+        b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+        met = np.zeros(n, dtype=bool)
+        for run in range(runs):
+            nodes = []
+            for samples in (a, b):
+                row, path = np.arange(n), np.full(n, near.mix64(np.array([run + 1], dtype=np.uint64))[0])
+                for _ in range(depth):
+                    row, path = near._choose(row, path, samples, 0.8)
+                nodes.append(set(zip(row.tolist(), path.tolist())))
+            for row, _ in nodes[0] & nodes[1]:
+                met[row] = True
+        found = (met & ((a == b).mean(axis=1) >= near.LOOSE)).mean()
+        assert abs(found - near.recall(0.8, runs, depth)) < 0.03
+    assert near.recall(0.8, near.runs_for(near.MAX_DEPTH), near.MAX_DEPTH) >= near.RECALL > near.recall(0.8, near.runs_for(near.START_DEPTH) - 1, near.START_DEPTH)
+
+
+def test_templates_are_not_compared(spark, monkeypatch):
+    """Documents that share half of a template are no near copies, and no large group of them is compared."""
+    rng = np.random.default_rng(12)
+    template = " ".join(f"t{i}" for i in range(120))
+    texts = [f"{template} {' '.join(rng_words(rng, 75, 10**6))}" for _ in range(1500)]
+    seen = []
+    counted = near._counted
+    monkeypatch.setattr(near, "_counted", lambda members, threshold: (seen.append(members.count()), counted(members, threshold))[1])
+    got = near.near_join(frame(spark, texts)).collect()
+    assert seen == [0] and all(r["links"] == 0 and r["class_id"] == r["doc_id"] for r in got)
+
+
+def test_near_join_of_text_keys(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "One, two three four five six!"), (None, "x"), ("c", None), ("c", "")], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "-", r["class_id"], r["links"]) for r in near.near_join(docs).collect())
+    assert got == [("-", None, 0), ("a", "a", 1), ("b", "a", 1), ("c", "c", 1), ("c", "c", 1)]
+    assert sorted(r["doc_id"] or "-" for r in near.keep_one(docs).collect()) == ["-", "a", "c", "c"]
+
+
 def test_keep_one(spark, corpus):
     kept = sorted(r["doc_id"] for r in near.keep_one(frame(spark, corpus)).collect())
     assert kept == sorted({c for c, _ in brute_near(corpus)})
