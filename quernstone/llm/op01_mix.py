@@ -57,16 +57,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return final.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: Sequence[float], share: float = 1.0, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size, source_size, target, copies, taken for each row of docs.
-
-    size is the number of words of the text (null: 0); null is a source like others. Documents
-    without words belong to the mix like others. Rows that are repeated are drawn one by one. The same rows and seed
-    give the same copies, however the rows are stored. No rows give no rows.
-    """
-    slim = cut(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), words_in(text_of(text)).alias("size")))
-    fine = F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 2)
-    rows = slim.withColumn("label", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("band", size_class(F.col("size"))).withColumn("cell", fine)
+def _drawn(slim: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
+    """slim, a table of id, source, size, spread and twin (and others), with source_size, target and copies."""
+    rows = slim.withColumn("label", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("band", size_class(F.col("size"))).withColumn("cell", F.col("spread"))
 
     cells = cut(rows.groupBy("label", "source", "band", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     bands = cells.groupBy("label", "source", "band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -82,20 +75,36 @@ def mixture(docs: DataFrame, weights: Sequence[float], share: float = 1.0, most:
     starts = cells.select("label", "band", "cell", before("label", "band", "cell").alias("cell_start"))
     starts = starts.join(small(bands), ["label", "band"]).join(small(labelled), "label").withColumn("start", F.col("band_start") + F.col("cell_start"))
 
-    place = F.row_number().over(Window.partitionBy("label", "band", "cell").orderBy("size", "id")).cast("long")
+    place = F.row_number().over(Window.partitionBy("label", "band", "cell").orderBy("size", "id", "twin")).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("label"))), 1, 7), 16, 10).cast("long")
     ranked = rows.withColumn("place", place).join(starts.select("label", "band", "cell", "start", "source_size", "target", "rate"), ["label", "band", "cell"])
     rank = F.col("start") + F.col("place")
     crossed = F.shiftright(offset + F.col("rate") * rank, POINT) - F.shiftright(offset + F.col("rate") * (rank - 1), POINT)
-    drawn = ranked.withColumn("copies", crossed.cast("int"))
+    return ranked.withColumn("copies", crossed.cast("int"))
+
+
+def _slim(key: str, text: str, source: str) -> list[Column]:
+    """id, source, size, spread (a hash of the key, of the text where that is null: one of 256) and twin, which tells rows of a key apart."""
+    spread = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), text_of(text))), 1, 2)
+    return [F.col(key).alias("id"), F.col(source).cast("string").alias("source"), words_in(text_of(text)).alias("size"), spread.alias("spread"), F.crc32(text_of(text)).alias("twin")]
+
+
+def mixture(docs: DataFrame, weights: Sequence[float], share: float = 1.0, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, source, size, source_size, target, copies, taken for each row of docs.
+
+    size is the number of words of the text (null: 0); null is a source like others. Documents
+    without words belong to the mix like others. Rows that are repeated, or share a null key, are drawn one by one. The same rows and seed
+    give the same copies, however the rows are stored. No rows give no rows.
+    """
+    drawn = _drawn(cut(docs.select(*_slim(key, text, source))), weights, share, most, seed)
     return drawn.select(F.col("id").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.0, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it.
 
-    Rows that share a key (null too) get the largest number of copies drawn for any of them.
+    Rows that share a key (null too) are drawn one by one, as in `mixture`. The rows are written once with a number each, by which the copies are joined to them.
     """
-    drawn = mixture(docs, weights, share, most, seed, key, text, source).groupBy(F.col(key).alias("drawn key")).agg(F.max("copies").alias("drawn copies")).where(F.col("drawn copies") > 0)
-    joined = docs.join(drawn, docs[key].eqNullSafe(drawn["drawn key"]))
-    return joined.withColumn("drawn copy", F.explode(F.sequence(F.lit(1), F.col("drawn copies")))).select(*[docs[c] for c in docs.columns])
+    whole = cut(docs.select(F.struct(*docs.columns).alias("row"), *_slim(key, text, source), F.monotonically_increasing_id().alias("number")))
+    drawn = _drawn(whole.drop("row"), weights, share, most, seed).where("copies > 0").select("number", "copies")
+    return whole.select("number", "row").join(drawn, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

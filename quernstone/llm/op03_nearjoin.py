@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_of
+from .common import cut, settled, small, text_of
 from .components import components
 from .wordhash import U64, Words, mix64, ngrams, text_blocks, words_of
 
@@ -362,8 +362,8 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = REC
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "sketch")).alias("best")
     classes = cut(prints.groupBy("k1", "k2", "n").agg(best, F.count("*").alias("weight")).select("k1", "k2", "n", "weight", F.col("best.doc").alias("doc"), F.col("best.row").alias("rep"), F.col("best.sketch").alias("sketch")))
     tokens = prints.select(F.col("row").alias("rep"), "tokens")
-    links = cut(links_between(classes, tokens, threshold, target))
-    group = cut(components(links))
+    links = settled(lambda: links_between(classes, tokens, threshold, target))
+    group = settled(lambda: components(links))
 
     sizes = cut(group.groupBy("label").agg(F.count("*").alias("sets")))
     weights = classes.select("rep", "weight")
@@ -380,8 +380,8 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = REC
     near = counted.unionByName(twos).groupBy("rep").agg(F.sum("near").alias("near"))
     linked = cut(near.join(group.select(F.col("vertex").alias("rep"), "label"), "rep").join(classes.select("rep", "doc"), "rep"))
     lowest = linked.groupBy("label").agg(F.min("doc").alias("class_doc"))
-    settled = linked.join(lowest, "label").select("rep", "near", "class_doc")
-    named = classes.select("k1", "k2", "n", "weight", "rep", F.col("doc").alias("rep_doc")).join(settled, "rep", "left")
+    classed = linked.join(lowest, "label").select("rep", "near", "class_doc")
+    named = classes.select("k1", "k2", "n", "weight", "rep", F.col("doc").alias("rep_doc")).join(classed, "rep", "left")
     joined = prints.select("doc", "k1", "k2", "n").join(named, ["k1", "k2", "n"])
     return joined.select(
         F.col("doc").alias(key),

@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut, shuffles, text_of
+from .common import cut, settled, shuffles, text_of
 
 #: What is stripped from both ends of a line to get its key.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -192,11 +193,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
     points or more that occur in min_docs documents or more lose their lines: all, or all but the first by
     key of the document and position. Null or empty text is one empty line. Rows that repeat key and text
     are one document and get the same result; rows that share a key but not the text are apart.
-    Null keys are a value like others. Other columns are ignored; no rows give no rows.
+    Null keys are a value like others. Keys other than whole numbers stand in the order of their hashes. Other columns are ignored; no rows give no rows.
     """
-    named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("twin"), text_of(text).alias("text"))
-    bitmaps = cut(keep_bitmaps(named, min_docs, min_chars, keep_first)).toDF("b_doc", "b_twin", "bitmap")
-    joined = named.join(bitmaps, named["doc"].eqNullSafe(bitmaps["b_doc"]) & (named["twin"] == bitmaps["b_twin"]), "left").select("doc", "text", "bitmap")
+    kind = docs.select(key).schema[0].dataType
+    doc = F.col(key).cast("long") if isinstance(kind, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    named = docs.select(F.col(key).alias("key"), doc.alias("doc"), F.xxhash64(text_of(text)).alias("twin"), text_of(text).alias("text"))
+    bitmaps = settled(lambda: keep_bitmaps(named, min_docs, min_chars, keep_first)).toDF("b_doc", "b_twin", "bitmap")
+    joined = named.join(bitmaps, named["doc"].eqNullSafe(bitmaps["b_doc"]) & (named["twin"] == bitmaps["b_twin"]), "left").select("key", "text", "bitmap")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +213,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
                 if with_text:
                     texts.append(joined_text.decode())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_lines", "n_dropped", "kept_sha256", "text"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_lines", "n_dropped", "kept_sha256", "text"][: len(columns)])
 
-    schema = "doc long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(apply, schema).withColumnRenamed("doc", key)
+    schema = f"key {kind.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
+    return joined.mapInArrow(apply, schema).withColumnRenamed("key", key)

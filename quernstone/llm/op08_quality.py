@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 from .wordhash import U64, Words, mix64, ngrams, text_blocks, words_of
 
 #: 2**BITS weights (4 bytes each) are broadcast: 1 MB.
@@ -117,22 +117,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     return np.frombuffer(row["weights"], dtype=np.float32) if row else np.zeros(1 << BITS, dtype=np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """key (or with keep all columns of docs) and score, 0 to 1, of each row; null text counts as empty."""
+def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", keep: bool = False, out: str = "score") -> DataFrame:
+    """key (or with keep all columns of docs) and `out`, the score from 0 to 1, of each row; null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     columns = docs.columns if keep else [key]
-    prepared = docs.select(*columns, F.lower(text_of(text)).alias("lower text"))
+    if out in columns:
+        raise ValueError(f"{out} is a column of the documents: name another one for the score")
+    prepared = docs.select(*columns, F.lower(text_of(text)).alias(fresh("lower text", columns)))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros(0)]
+            sums = [np.zeros(0)]
             for _, _, first, slot, value in blocks_of(batch.column(batch.num_columns - 1)):
-                out.append(np.add.reduceat(shared.value[slot] * value, first[:-1]))  # every text has shape features
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate(out), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*columns, "score"])
+                sums.append(np.add.reduceat(shared.value[slot] * value, first[:-1]))  # every text has shape features
+            p = 1 / (1 + np.exp(-np.clip(np.concatenate(sums), -35, 35)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*columns, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return prepared.mapInArrow(scores, f"{fields}, score double")
+    return prepared.mapInArrow(scores, f"{fields}, `{out}` double")
 
 
 def held_out(key: str = "doc_id", folds: int = 5):
@@ -140,6 +142,12 @@ def held_out(key: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(key).cast("string")) % folds == 0
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with a score of threshold or more."""
+    out = fresh("score", docs.columns)
+    return score(docs, weights, key, text, True, out).where(F.col(out) >= threshold).drop(out)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted for each row of docs.
 

@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordhash import U64, Words, text_blocks, words_of
+from .wordhash import U64, WORD, Words, text_blocks, words_of
 
+#: Items of fewer words mark nothing: a common word or two would mark every document.
+LEAST_WORDS = 5
 #: Seeds of an item that a document must hold (all that an item needs, if fewer).
 SEEDS = 4
 #: Bytes of item texts in a block, which the driver holds and broadcasts (a longer item is a block of its own).
@@ -198,11 +200,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5,
     """key, item, score, end_word: a row for each document and item of which it holds a copy, whole or edited.
 
     score is the best local alignment of the words (case and punctuation aside) over that of a full
-    copy, min_score to 1, and every pair at min_score has its row; end_word is the word of the document after which it ends. Null or empty texts match nothing;
+    copy, min_score to 1, and every pair at min_score has its row, but for items of fewer than LEAST_WORDS words, which have none; end_word is the word of the document after which it ends. Null or empty texts match nothing;
     rows that are repeated give repeated pairs. No rows on either side give no rows.
     """
     lower = docs.select(key, F.lower(text_of(text)).alias("lower text"))
     items = benchmark.select(F.col(item).alias("id"), F.lower(text_of(item_text)).alias("lower text"))
+    items = items.where(F.regexp_count("lower text", F.lit(WORD)) >= LEAST_WORDS)
     item_type = items.schema["id"].dataType.simpleString()
     total = items.agg(F.sum(F.octet_length("lower text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

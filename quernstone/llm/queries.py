@@ -91,7 +91,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP1 = r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
 ), weighted AS (
@@ -112,7 +112,7 @@ WITH docs AS (
 ), ranked AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, r.start,
     row_number() OVER (PARTITION BY d.source ORDER BY length(CAST(d.size AS VARCHAR)) * 100 + CAST(substr(CAST(d.size AS VARCHAR), 1, 2) AS INT),
-      substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 2), d.size, d.doc_id) AS rank
+      substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.text)), 1, 2), d.size, d.doc_id) AS rank
   FROM docs d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 )
 SELECT doc_id, size, source_size, target, CAST(((start + rate * rank) >> 28) - ((start + rate * (rank - 1)) >> 28) AS INT) AS copies,

@@ -17,6 +17,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = True
+#: The same words as a pattern.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Bytes handled at once. A longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
