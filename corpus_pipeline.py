@@ -8,18 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import queries as q
-from quernstone.llm.common import cut, table
+from quernstone.llm.common import settled, table
 from quernstone.llm.op01_mix import mix
 from quernstone.llm.op03_nearjoin import keep_one
 from quernstone.llm.op05_shard import place_rows
-from quernstone.llm.op08_quality import held_out, score, train
+from quernstone.llm.op08_quality import held_out, keep_good, train
 from quernstone.llm.op10_decontaminate import decontaminate
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     weights = train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
-    return score(docs, weights, keep=True).where(f"score >= {q.QUALITY_THRESHOLD}").drop("score")
+    return keep_good(docs, weights, q.QUALITY_THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settled(lambda: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
