@@ -4,15 +4,16 @@
 2. Chosen paths: a set is represented by COORDS min-wise sampled tokens. From each node of a tree a set goes
    on to the children of the coordinates that the node's hash chooses, 1 / threshold of them on average, so
    that two sets at the threshold are expected to share one child. A path is computed from the
-   set alone, so the split is one pass. Buckets with more than BUCKET sets are split further, up to
-   MAX_DEPTH. Trees are repeated until the recall of a pair at the threshold, which is a sum over what its samples can be
-   (`recall`), reaches RECALL at START_DEPTH; sets that pass through larger buckets get as many more trees as MAX_DEPTH asks for.
-3. Small buckets are brute-forced on the sampled tokens (a loose filter), which leaves clusters within a bucket. A bucket
-   that stays large at MAX_DEPTH is held against one of its sets, and what isn't linked with that one against all, in cells.
+   set alone, so the split is one pass. Trees are repeated until the recall of a pair at the threshold, which is a sum over
+   what its samples can be (`recall`), reaches RECALL at START_DEPTH.
+3. Buckets of up to BUCKET sets are brute-forced on the sampled tokens (a loose filter), which leaves clusters within a bucket. A larger
+   bucket is first held against one of its sets, the pivot. Sets linked with it are in its class; only pairs with the
+   others, the far ones, are open. Up to BUCKET far sets are brute-forced against the bucket in cells; with more, the bucket
+   is split further, up to MAX_DEPTH, and its sets get as many more trees as the recall at that depth asks for.
 4. Exact check: in each distinct cluster every pair's Jaccard similarity is computed from the whole sets. Classes are the
    components of these verified links alone.
 5. Links are counted, not listed: in classes of three sets or more all pairs are compared in blocks of BLOCK sets,
-   so that no task holds a large class. A class of m different near copies costs m * m comparisons but m * m / BLOCK rows.
+   so that no task holds a large class. A class of m different near copies costs m * m comparisons but m * m / BLOCK sets moved.
 
 Tokens are compared by 32 bits of their hashes: in a pair with 1,000 tokens some two agree by chance once in 9,000 pairs.
 """
@@ -251,7 +252,7 @@ def _verified(clusters: DataFrame, tokens: DataFrame, threshold: float) -> DataF
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(reps[other]), pa.array(reps[label[other]])], names=["a", "b"])
 
-    rows = clusters.distinct().join(tokens, "rep").select("cluster", "rep", "tokens")
+    rows = clusters.join(tokens, "rep").select("cluster", "rep", "tokens")
     return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(compare, "a long, b long")
 
 
@@ -259,50 +260,71 @@ def _tokens_of(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(np.frombuffer(x, dtype=np.uint32)) for x in column.to_pylist()]
 
 
-def links_between(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """Verified links a, b that connect all sets (rep, sketch) which chosen paths bring together; tokens: rep, tokens."""
+def _like_pivot(pairs: DataFrame, loose: float) -> DataFrame:
+    """pivot, rep of the pairs (pivot, rep, sketch, pivot_sketch) with at least `loose` equal samples."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hit = (_samples(batch.column(2)) == _samples(batch.column(3))).mean(axis=1) >= loose
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], names=["pivot", "rep"])
+
+    return pairs.select("pivot", "rep", "sketch", "pivot_sketch").mapInArrow(alike, "pivot long, rep long")
+
+
+def _of(tokens: DataFrame, reps: DataFrame) -> DataFrame:
+    """The tokens (rep, tokens) of these sets, as a table: what is joined with it moves no other tokens."""
+    return cut(tokens.join(small(cut(reps.select("rep").distinct())), "rep", "left_semi"))
+
+
+def candidates(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
+    """cluster, rep: clusters of sets (rep, sketch) that chosen paths bring together; their links connect what is linked. tokens: rep, tokens."""
     samples = sets.select("rep", "sketch")
-    clusters, over = [], []
+    clusters: list[DataFrame] = []
 
     def counted(rows: DataFrame) -> DataFrame:
         rows = cut(rows)
         many = cut(rows.groupBy("key").count().where("count > 1"))  # a table, so that a hot key's rows can be split in the join
         return cut(rows.join(many, "key"))
 
-    def settle(nodes: DataFrame) -> DataFrame | None:
-        """Clusters of the small buckets; what is over, if anything."""
+    def settle(nodes: DataFrame, last: bool = False) -> DataFrame | None:
+        """Adds the clusters of nodes (key, rep, count). Returns those that need a further split, if any (none if last)."""
         clusters.append(cut(_clusters(nodes.where(F.col("count") <= BUCKET).join(samples, "rep").withColumn("far", F.lit(True)), LOOSE)))
         large = nodes.where(F.col("count") > BUCKET)
-        return large if large.take(1) else None
+        if not large.take(1):
+            return None
+        pivots = cut(large.groupBy("key").agg(F.min("rep").alias("pivot")))
+        pairs = cut(large.join(pivots, "key").where("rep <> pivot").select("pivot", "rep").distinct())
+        known = cut(pairs.select("pivot").distinct()).withColumnRenamed("pivot", "rep").join(samples, "rep").select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        alike = cut(_like_pivot(pairs.join(samples, "rep").join(cut(known), "pivot"), LOOSE))
+        stars = cut(alike.withColumn("cluster", F.xxhash64("pivot", "rep")).select("cluster", F.explode(F.array("pivot", "rep")).alias("rep")))
+        near = cut(_verified(stars, _of(tokens, stars), threshold).select(F.greatest("a", "b").alias("rep"), F.least("a", "b").alias("pivot")))
+        clusters.append(stars)
+        marked = cut(large.join(pivots, "key").join(near.withColumn("near", F.lit(True)), ["pivot", "rep"], "left").select("key", "rep", "count", (F.col("near").isNull() & (F.col("rep") != F.col("pivot"))).alias("far")))
+        farness = cut(marked.groupBy("key").agg(F.count_if("far").alias("n_far")))
+        marked = marked.join(farness, "key")
+        close = marked.where("n_far > 0") if last else marked.where(f"n_far > 0 and n_far <= {BUCKET}")
+        # Each set in its own cell, the far ones in all.
+        n_cells = F.ceil(F.col("count") / BUCKET).cast("int")
+        own = F.pmod(F.xxhash64("rep"), n_cells).cast("int")
+        dealt = close.withColumn("cell", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), n_cells - 1)).otherwise(F.array(own))))
+        clusters.append(cut(_clusters(dealt.select(F.xxhash64("key", "cell").alias("key"), "rep", "far").join(samples, "rep"), LOOSE)))
+        deeper = marked.where(f"n_far > {BUCKET}")
+        return None if last or not deeper.take(1) else deeper.select("key", "rep")
 
     first = runs_for(START_DEPTH, threshold, target)
-    large = settle(counted(_paths(samples, range(first), START_DEPTH, threshold)))
-    if large is not None:
-        hot = samples.join(cut(large.select("rep").distinct()), "rep")
+    open_nodes = settle(counted(_paths(samples, range(first), START_DEPTH, threshold)))
+    if open_nodes is not None:
+        hot = samples.join(cut(open_nodes.select("rep").distinct()), "rep")
         more = settle(counted(_paths(hot, range(first, runs_for(MAX_DEPTH, threshold, target)), START_DEPTH, threshold)))
-        large = large if more is None else large.unionByName(more)
-    for _ in range(START_DEPTH, MAX_DEPTH):
-        if large is not None:
-            large = settle(counted(_deeper(large.join(samples, "rep"), threshold)))
-    if large is not None:
-        pivots = cut(large.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")))
-        pairs = large.join(pivots, "key").where("rep <> pivot").select("pivot", "rep").distinct()
-        named = pairs.withColumn("cluster", F.xxhash64("pivot", "rep")).select("cluster", F.explode(F.array("pivot", "rep")).alias("rep"))
-        stars = cut(_verified(named, tokens, threshold))
-        over.append(stars)
-        near = cut(stars.select(F.greatest("a", "b").alias("rep"), F.least("a", "b").alias("pivot"), F.lit(False).alias("far")).distinct())
-        known = large.join(pivots, "key").join(near, ["pivot", "rep"], "left").select("key", "rep", F.coalesce("far", F.col("rep") != F.col("pivot")).alias("far"), F.ceil(F.col("n") / BUCKET).cast("int").alias("cells"))
-        # Each set in its own cell, those that aren't linked with the pivot in all.
-        own = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
-        dealt = known.withColumn("cell", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(own))))
-        cells = cut(dealt.select(F.xxhash64("key", "cell").alias("key"), "rep", "far"))
-        open_cells = cut(cells.where("far").select("key").distinct())
-        clusters.append(cut(_clusters(cells.join(open_cells, "key", "left_semi").join(samples, "rep"), LOOSE)))
-    all_clusters = clusters[0]
+        open_nodes = open_nodes if more is None else open_nodes.unionByName(more)
+    for depth in range(START_DEPTH + 1, MAX_DEPTH + 1):
+        if open_nodes is not None:
+            open_nodes = settle(counted(_deeper(open_nodes.join(samples, "rep"), threshold)), depth == MAX_DEPTH)
+    found = clusters[0]
     for c in clusters[1:]:
-        all_clusters = all_clusters.unionByName(c)
-    result = _verified(all_clusters, tokens, threshold)
-    return result.unionByName(over[0]) if over else result
+        found = found.unionByName(c)
+    return found.distinct()
 
 
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -326,26 +348,23 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, thresh
         yield i, np.flatnonzero(hit)
 
 
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """rep, near from rows (g, p, q, side, rep, weight, tokens), a group (g, p, q) being two blocks of a class: rep is linked with sets of weight near."""
+def _counted(pairs: DataFrame, threshold: float) -> DataFrame:
+    """rep, near from rows (g, p, q, side, sets), the sets (rep, weight, tokens) of a block of class g that meets another: rep is linked with sets of weight near."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 3):
-            p, q = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            side, reps, weight = (group.column(i).to_numpy() for i in (3, 4, 5))
-            tokens = _tokens_of(group.column(6))
-            left = np.arange(len(reps)) if p == q else np.flatnonzero(side == p)
-            right = left if p == q else np.flatnonzero(side == q)
-            if not len(left) or not len(right):
-                continue
-            linked = np.zeros(len(reps), dtype=np.int64)
-            for i, hits in similar_pairs([tokens[x] for x in left], None if p == q else [tokens[x] for x in right], threshold):
-                mine, theirs = left[i], right[hits]
-                linked[mine] += weight[theirs].sum()
-                linked[theirs] += weight[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(linked)], names=["rep", "near"])
+            blocks = [group.column(4).slice(i, 1).flatten() for i in range(group.num_rows)]
+            if group.column(1)[0].as_py() != group.column(2)[0].as_py() and len(blocks) < 2:
+                continue  # the other block got no set
+            reps, weights = ([x.field(name).to_numpy() for x in blocks] for name in ("rep", "weight"))
+            tokens = [_tokens_of(x.field("tokens")) for x in blocks]
+            linked = [np.zeros(len(x), dtype=np.int64) for x in reps]
+            for i, hits in similar_pairs(tokens[0], tokens[1] if len(blocks) > 1 else None, threshold):
+                linked[0][i] += weights[-1][hits].sum()
+                linked[-1][hits] += weights[0][i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(linked))], names=["rep", "near"])
 
-    return members.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(compare, "rep long, near long")
+    return pairs.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "side").select("g", "p", "q", "side", "sets").mapInArrow(compare, "rep long, near long")
 
 
 def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,17 +381,19 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = REC
     best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "sketch")).alias("best")
     classes = cut(prints.groupBy("k1", "k2", "n").agg(best, F.count("*").alias("weight")).select("k1", "k2", "n", "weight", F.col("best.doc").alias("doc"), F.col("best.row").alias("rep"), F.col("best.sketch").alias("sketch")))
     tokens = prints.select(F.col("row").alias("rep"), "tokens")
-    links = settled(lambda: links_between(classes, tokens, threshold, target))
+    clusters = settled(lambda: candidates(classes, tokens, threshold, target))
+    tokens = _of(tokens, clusters)
+    links = settled(lambda: _verified(clusters, tokens, threshold))
     group = settled(lambda: components(links))
 
     sizes = cut(group.groupBy("label").agg(F.count("*").alias("sets")))
     weights = classes.select("rep", "weight")
     # Two sets are linked with each other; more are compared in blocks, each pair of blocks by itself.
     dealt = group.join(sizes, "label").where("sets > 2").withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("label").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), F.col("vertex").alias("rep")
-    )
-    counted = _counted(paired.join(weights, "rep").join(tokens, "rep").select("g", "p", "q", "side", "rep", "weight", "tokens"), threshold)
+    members = dealt.withColumnRenamed("vertex", "rep").join(weights, "rep").join(tokens, "rep")
+    blocks = cut(members.groupBy("label", "own", "blocks").agg(F.collect_list(F.struct("rep", "weight", "tokens")).alias("sets")))  # about BLOCK sets each
+    paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("label").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), "sets")
+    counted = _counted(paired, threshold)
     two = group.join(sizes.where("sets = 2"), "label").join(weights.withColumnRenamed("rep", "vertex"), "vertex")
     partner = two.groupBy("label").agg(F.sum("weight").alias("both"))
     twos = two.join(partner, "label").select(F.col("vertex").alias("rep"), (F.col("both") - F.col("weight")).alias("near"))

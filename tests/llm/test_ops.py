@@ -183,7 +183,7 @@ def brute_near(texts, threshold=0.8):
     return [(find(i), links[i]) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("bucket", "block", "depth"), [(256, 128, 6), (2, 3, 3)])
+@pytest.mark.parametrize(("bucket", "block", "depth"), [(256, 128, 6), (6, 3, 3), (2, 3, 3)])
 def test_near_join(spark, corpus, monkeypatch, bucket, block, depth):
     monkeypatch.setattr(near, "MAX_DEPTH", depth)
     monkeypatch.setattr(near, "BUCKET", bucket)
@@ -237,7 +237,7 @@ def test_templates_are_not_compared(spark, monkeypatch):
     texts = [f"{template} {' '.join(rng_words(rng, 75, 10**6))}" for _ in range(1500)]
     seen = []
     counted = near._counted
-    monkeypatch.setattr(near, "_counted", lambda members, threshold: (seen.append(members.count()), counted(members, threshold))[1])
+    monkeypatch.setattr(near, "_counted", lambda pairs, threshold: (seen.append(pairs.count()), counted(pairs, threshold))[1])
     got = near.near_join(frame(spark, texts)).collect()
     assert seen == [0] and all(r["links"] == 0 and r["class_id"] == r["doc_id"] for r in got)
 
