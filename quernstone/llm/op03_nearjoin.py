@@ -7,9 +7,11 @@
    set alone, so the split is one pass. Trees are repeated until the recall of a pair at the threshold, which is a sum over
    what its samples can be (`recall`), reaches RECALL at START_DEPTH.
 3. Buckets of up to BUCKET sets are brute-forced on the sampled tokens (a loose filter), which leaves clusters within a bucket. A larger
-   bucket is first held against one of its sets, the pivot. Sets linked with it are in its class; only pairs with the
-   others, the far ones, are open. Up to BUCKET far sets are brute-forced against the bucket in cells; with more, the bucket
-   is split further, up to MAX_DEPTH, and its sets get as many more trees as the recall at that depth asks for.
+   bucket is first cut into cells of about BUCKET sets, each with the same set, the pivot (one that is like many of the first
+   cell), and these are brute-forced. What is linked with the pivot within its cell is in the pivot's class; only pairs with the
+   others, the far sets, are open. Up to FAR far
+   sets are held against every cell. With more the bucket is split further, up to MAX_DEPTH, and its sets get as
+   many more trees as the recall at the next depth asks for.
 4. Exact check: in each distinct cluster every pair's Jaccard similarity is computed from the whole sets. Classes are the
    components of these verified links alone.
 5. Links are counted, not listed: in classes of three sets or more all pairs are compared in blocks of BLOCK sets,
@@ -26,7 +28,7 @@ from math import comb, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, settled, small, text_of
@@ -34,7 +36,7 @@ from .components import components
 from .wordhash import U64, Words, mix64, ngrams, text_blocks, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDS, START_DEPTH, MAX_DEPTH, BUCKET, BLOCK = 64, 2, 6, 256, 128
+COORDS, START_DEPTH, MAX_DEPTH, BUCKET, FAR, BLOCK = 64, 2, 6, 256, 2048, 128
 #: Share of the pairs at the threshold that are to be found; pairs above it are found more surely.
 RECALL = 0.999
 #: Share of equal sampled tokens from which a pair of a small bucket is a candidate: over 4 deviations below 0.8.
@@ -202,74 +204,78 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def _clusters(cells: DataFrame, loose: float) -> DataFrame:
-    """cluster, rep: sets of a cell (key, rep, far, sketch) that pairs with at least `loose` equal samples connect, clusters of two or more.
+    """cluster, rep, asks, own: sets of a cell (key, rep, asks, own, sketch) that pairs with at least `loose` equal samples connect, clusters of two or more.
 
-    Only pairs with a set that is far are looked at. The same sets have the same cluster in whatever cell they meet.
+    Only pairs of a set that asks with one of the cell's own are looked at. The same sets have the same cluster in whatever cell they meet.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
 
         def made() -> pa.RecordBatch:
-            ids, reps = (np.concatenate(x) for x in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(reps)], names=["cluster", "rep"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["cluster", "rep", "asks", "own"])
 
         for group in groups_of(batches, 1):
             if len(group) < 2:
                 continue
-            reps, far, samples = group.column(1).to_numpy(), group.column(2).to_numpy(zero_copy_only=False), _samples(group.column(3))
+            reps, samples = group.column(1).to_numpy(), _samples(group.column(4))
+            asks, own = (group.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             if len(reps) == 2:
                 label = np.zeros(2, np.int64) if (samples[0] == samples[1]).mean() >= loose else np.arange(2)
             else:
                 linked = np.zeros((len(reps), len(reps)), dtype=bool)
-                for i in np.flatnonzero(far):
-                    linked[i] = linked[:, i] = (samples == samples[i]).mean(axis=1) >= loose
-                label = forest(linked)
+                for i in np.flatnonzero(asks):
+                    linked[i] = ((samples == samples[i]).mean(axis=1) >= loose) & own
+                label = forest(linked | linked.T)
             for first in np.flatnonzero(np.bincount(label, minlength=len(reps)) > 1):
-                own = np.unique(reps[label == first])
-                if len(own) > 1:
-                    out.append((np.full(len(own), mix64(own.astype(U64)).sum(dtype=U64).astype(np.int64)), own))
+                at = np.flatnonzero(label == first)
+                marks = mix64(reps[at].astype(U64) * U64(4) + asks[at].astype(U64) * U64(2) + own[at].astype(U64))
+                out.append((np.full(len(at), marks.sum(dtype=U64).astype(np.int64)), reps[at], asks[at], own[at]))
             if len(out) >= 4096:
                 yield made()
                 out = []
         if out:
             yield made()
 
-    return cells.select("key", "rep", "far", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(found, "cluster long, rep long")
+    return cells.select("key", "rep", "asks", "own", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(found, "cluster long, rep long, asks boolean, own boolean")
 
 
 def _verified(clusters: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links (similarity of the whole sets at least threshold) that connect what is linked in each cluster (cluster, rep)."""
+    """cluster, a, b: for each set a of a cluster (cluster, rep, asks, own) the least b with which it is linked, if not itself: by a similarity of the whole sets of at least threshold, or by way of others."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1):
-            reps = group.column(1).to_numpy()
+            reps, sets = group.column(1).to_numpy(), _tokens_of(group.column(4))
+            asks, own = (np.flatnonzero(group.column(i).to_numpy(zero_copy_only=False)) for i in (2, 3))
+            if not len(asks) or not len(own):
+                continue
+            every = len(asks) == len(own) == len(reps)
             joined = np.zeros((len(reps), len(reps)), dtype=bool)
-            for i, hits in similar_pairs(_tokens_of(group.column(2)), None, threshold):
-                joined[i, hits] = joined[hits, i] = True
+            for i, hits in similar_pairs([sets[x] for x in asks], None if every else [sets[x] for x in own], threshold):
+                joined[asks[i], own[hits]] = joined[own[hits], asks[i]] = True
             label = forest(joined)
             other = np.flatnonzero(label != np.arange(len(label)))
             if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[other]), pa.array(reps[label[other]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([group.column(0).slice(0, len(other)), pa.array(reps[other]), pa.array(reps[label[other]])], names=["cluster", "a", "b"])
 
-    rows = clusters.join(tokens, "rep").select("cluster", "rep", "tokens")
-    return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(compare, "a long, b long")
+    rows = clusters.join(tokens, "rep").select("cluster", "rep", "asks", "own", "tokens")
+    return rows.repartition("cluster").sortWithinPartitions("cluster", "rep").mapInArrow(compare, "cluster long, a long, b long")
 
 
 def _tokens_of(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(np.frombuffer(x, dtype=np.uint32)) for x in column.to_pylist()]
 
 
-def _like_pivot(pairs: DataFrame, loose: float) -> DataFrame:
-    """pivot, rep of the pairs (pivot, rep, sketch, pivot_sketch) with at least `loose` equal samples."""
+def _central(cells: DataFrame, threshold: float) -> DataFrame:
+    """key, pivot: of the sets of each bucket (key, rep, sketch), few enough for a task, one that is like most others."""
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                hit = (_samples(batch.column(2)) == _samples(batch.column(3))).mean(axis=1) >= loose
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], names=["pivot", "rep"])
+    def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            samples = _samples(group.column(2))
+            alike = [((samples == x).mean(axis=1) >= threshold).sum() for x in samples]
+            yield pa.RecordBatch.from_arrays([group.column(i).slice(int(np.argmax(alike)), 1) for i in (0, 1)], names=["key", "pivot"])
 
-    return pairs.select("pivot", "rep", "sketch", "pivot_sketch").mapInArrow(alike, "pivot long, rep long")
+    return cells.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(central, "key long, pivot long")
 
 
 def _of(tokens: DataFrame, reps: DataFrame) -> DataFrame:
@@ -278,7 +284,7 @@ def _of(tokens: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """cluster, rep: clusters of sets (rep, sketch) that chosen paths bring together; their links connect what is linked. tokens: rep, tokens."""
+    """cluster, rep, asks, own: clusters of sets (rep, sketch) that chosen paths bring together; their links connect what is linked. tokens: rep, tokens."""
     samples = sets.select("rep", "sketch")
     clusters: list[DataFrame] = []
 
@@ -287,40 +293,43 @@ def candidates(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD,
         many = cut(rows.groupBy("key").count().where("count > 1"))  # a table, so that a hot key's rows can be split in the join
         return cut(rows.join(many, "key"))
 
-    def settle(nodes: DataFrame, last: bool = False) -> DataFrame | None:
+    def settle(nodes: DataFrame, last: bool) -> DataFrame | None:
         """Adds the clusters of nodes (key, rep, count). Returns those that need a further split, if any (none if last)."""
-        clusters.append(cut(_clusters(nodes.where(F.col("count") <= BUCKET).join(samples, "rep").withColumn("far", F.lit(True)), LOOSE)))
+        both = {"asks": F.lit(True), "own": F.lit(True)}
+        clusters.append(cut(_clusters(nodes.where(F.col("count") <= BUCKET).join(samples, "rep").withColumns(both), LOOSE)))
         large = nodes.where(F.col("count") > BUCKET)
-        if not large.take(1):
+        if large.isEmpty():
             return None
-        pivots = cut(large.groupBy("key").agg(F.min("rep").alias("pivot")))
-        pairs = cut(large.join(pivots, "key").where("rep <> pivot").select("pivot", "rep").distinct())
-        known = cut(pairs.select("pivot").distinct()).withColumnRenamed("pivot", "rep").join(samples, "rep").select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        alike = cut(_like_pivot(pairs.join(samples, "rep").join(cut(known), "pivot"), LOOSE))
-        stars = cut(alike.withColumn("cluster", F.xxhash64("pivot", "rep")).select("cluster", F.explode(F.array("pivot", "rep")).alias("rep")))
-        near = cut(_verified(stars, _of(tokens, stars), threshold).select(F.greatest("a", "b").alias("rep"), F.least("a", "b").alias("pivot")))
+        n_cells = F.ceil(F.col("count") / BUCKET).cast("int")
+        cell = F.pmod(F.xxhash64("rep"), n_cells).cast("int")
+
+        def celled(rows: DataFrame, everywhere: Column, asks: Column, own: Column) -> DataFrame:
+            """Clusters of the cells of rows, some of which go to every cell; asks and own may look at `at`, the cell."""
+            cells = F.when(everywhere, F.sequence(F.lit(0), n_cells - 1)).otherwise(F.array(cell))
+            dealt = rows.withColumn("at", F.explode(cells)).select(F.xxhash64("key", "at").alias("key"), "rep", asks.alias("asks"), own.alias("own"))
+            return cut(_clusters(dealt.join(samples, "rep"), LOOSE))
+
+        pivots = cut(_central(large.where(cell == 0).join(samples, "rep"), threshold))
+        large = large.join(pivots, "key", "left").withColumn("pivot", F.coalesce("pivot", F.lit(-1)))  # -1: no set in the first cell
+        stars = celled(large, F.col("rep") == F.col("pivot"), **both)
         clusters.append(stars)
-        marked = cut(large.join(pivots, "key").join(near.withColumn("near", F.lit(True)), ["pivot", "rep"], "left").select("key", "rep", "count", (F.col("near").isNull() & (F.col("rep") != F.col("pivot"))).alias("far")))
-        farness = cut(marked.groupBy("key").agg(F.count_if("far").alias("n_far")))
+        edges = cut(_verified(stars.distinct(), _of(tokens, stars), threshold))
+        label = edges.select("cluster", F.col("a").alias("rep"), F.col("b").alias("label")).unionByName(edges.select("cluster", F.col("b").alias("rep"), F.col("b").alias("label")).distinct())
+        own = label.join(cut(pivots.select(F.col("pivot").alias("rep")).distinct()), "rep").withColumnRenamed("rep", "pivot")
+        near = cut(label.join(own, ["cluster", "label"]).select("pivot", "rep", F.lit(True).alias("near")).distinct())
+        marked = cut(large.join(near, ["pivot", "rep"], "left").select("key", "rep", "count", (F.col("near").isNull() & (F.col("rep") != F.col("pivot"))).alias("far")))
+        farness = cut(marked.groupBy("key").agg(F.count_if("far").alias("n_far")).where("n_far > 0"))
         marked = marked.join(farness, "key")
-        close = marked.where("n_far > 0") if last else marked.where(f"n_far > 0 and n_far <= {BUCKET}")
-        # Each set in its own cell, the far ones in all.
-        n_cells = F.ceil(F.col("count") / BUCKET).cast("int")
-        own = F.pmod(F.xxhash64("rep"), n_cells).cast("int")
-        dealt = close.withColumn("cell", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), n_cells - 1)).otherwise(F.array(own))))
-        clusters.append(cut(_clusters(dealt.select(F.xxhash64("key", "cell").alias("key"), "rep", "far").join(samples, "rep"), LOOSE)))
-        deeper = marked.where(f"n_far > {BUCKET}")
-        return None if last or not deeper.take(1) else deeper.select("key", "rep")
-
-    first = runs_for(START_DEPTH, threshold, target)
-    open_nodes = settle(counted(_paths(samples, range(first), START_DEPTH, threshold)))
-    if open_nodes is not None:
-        hot = samples.join(cut(open_nodes.select("rep").distinct()), "rep")
-        more = settle(counted(_paths(hot, range(first, runs_for(MAX_DEPTH, threshold, target)), START_DEPTH, threshold)))
-        open_nodes = open_nodes if more is None else open_nodes.unionByName(more)
-    for depth in range(START_DEPTH + 1, MAX_DEPTH + 1):
-        if open_nodes is not None:
-            open_nodes = settle(counted(_deeper(open_nodes.join(samples, "rep"), threshold)), depth == MAX_DEPTH)
+        clusters.append(celled(marked if last else marked.where(F.col("n_far") <= FAR), F.col("far"), F.col("far"), F.col("at") == cell))
+        deeper = marked.where(F.col("n_far") > FAR)
+        return None if last or farness.where(F.col("n_far") > FAR).isEmpty() else deeper.select("key", "rep")
+
+    depth, runs = START_DEPTH, runs_for(START_DEPTH, threshold, target)
+    nodes = counted(_paths(samples, range(runs), depth, threshold))
+    while (large := settle(nodes, depth == MAX_DEPTH)) is not None:
+        depth, done, runs = depth + 1, runs, max(runs, runs_for(depth + 1, threshold, target))
+        hot = samples.join(cut(large.select("rep").distinct()), "rep")
+        nodes = counted(_deeper(large.join(samples, "rep"), threshold).unionByName(_paths(hot, range(done, runs), depth, threshold)))
     found = clusters[0]
     for c in clusters[1:]:
         found = found.unionByName(c)
@@ -383,7 +392,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = REC
     tokens = prints.select(F.col("row").alias("rep"), "tokens")
     clusters = settled(lambda: candidates(classes, tokens, threshold, target))
     tokens = _of(tokens, clusters)
-    links = settled(lambda: _verified(clusters, tokens, threshold))
+    links = settled(lambda: _verified(clusters, tokens, threshold).select("a", "b"))
     group = settled(lambda: components(links))
 
     sizes = cut(group.groupBy("label").agg(F.count("*").alias("sets")))

@@ -183,8 +183,9 @@ def brute_near(texts, threshold=0.8):
     return [(find(i), links[i]) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("bucket", "block", "depth"), [(256, 128, 6), (6, 3, 3), (2, 3, 3)])
-def test_near_join(spark, corpus, monkeypatch, bucket, block, depth):
+@pytest.mark.parametrize(("bucket", "far", "block", "depth"), [(256, 2048, 128, 6), (6, 2, 3, 3), (2, 1, 3, 3), (3, 100, 3, 3)])
+def test_near_join(spark, corpus, monkeypatch, bucket, far, block, depth):
+    monkeypatch.setattr(near, "FAR", far)
     monkeypatch.setattr(near, "MAX_DEPTH", depth)
     monkeypatch.setattr(near, "BUCKET", bucket)
     monkeypatch.setattr(near, "BLOCK", block)
