@@ -36,7 +36,7 @@ from .components import components
 from .wordhash import U64, Words, mix64, ngrams, text_blocks, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDS, START_DEPTH, MAX_DEPTH, BUCKET, FAR, BLOCK = 64, 2, 6, 256, 2048, 128
+COORDS, START_DEPTH, MAX_DEPTH, BUCKET, FAR, BLOCK = 64, 2, 6, 256, 4096, 512
 #: Share of the pairs at the threshold that are to be found; pairs above it are found more surely.
 RECALL = 0.999
 #: Share of equal sampled tokens from which a pair of a small bucket is a candidate: over 4 deviations below 0.8.
@@ -191,16 +191,19 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each member of a symmetric relation the first member that it is connected with."""
-    label = np.arange(len(linked))
-    linked = linked | np.eye(len(linked), dtype=bool)
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n members the first that it is connected with by the pairs a, b."""
+    label = np.arange(n)
     while True:
-        best = np.where(linked, label[None, :], len(linked)).min(axis=1)
-        best = best[best]
-        if (best == label).all():
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], least)
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
             return label
-        label = best
+        label = new
 
 
 def _clusters(cells: DataFrame, loose: float) -> DataFrame:
@@ -223,10 +226,10 @@ def _clusters(cells: DataFrame, loose: float) -> DataFrame:
             if len(reps) == 2:
                 label = np.zeros(2, np.int64) if (samples[0] == samples[1]).mean() >= loose else np.arange(2)
             else:
-                linked = np.zeros((len(reps), len(reps)), dtype=bool)
-                for i in np.flatnonzero(asks):
-                    linked[i] = ((samples == samples[i]).mean(axis=1) >= loose) & own
-                label = forest(linked | linked.T)
+                owned, least = np.flatnonzero(own), int(np.ceil(loose * COORDS))
+                theirs = samples[owned]
+                hits = [(i, owned[np.count_nonzero(theirs == samples[i], axis=1) >= least]) for i in np.flatnonzero(asks)]
+                label = forest(len(reps), np.repeat([i for i, _ in hits], [len(h) for _, h in hits]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *(h for _, h in hits)]))
             for first in np.flatnonzero(np.bincount(label, minlength=len(reps)) > 1):
                 at = np.flatnonzero(label == first)
                 marks = mix64(reps[at].astype(U64) * U64(4) + asks[at].astype(U64) * U64(2) + own[at].astype(U64))
@@ -241,7 +244,7 @@ def _clusters(cells: DataFrame, loose: float) -> DataFrame:
 
 
 def _verified(clusters: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """cluster, a, b: for each set a of a cluster (cluster, rep, asks, own) the least b with which it is linked, if not itself: by a similarity of the whole sets of at least threshold, or by way of others."""
+    """cluster, a, b: for each set a of a cluster in a table (cluster, rep, asks, own) the least b with which it is linked, if not itself: by a similarity of the whole sets of at least threshold, or by way of others."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1):
@@ -250,15 +253,13 @@ def _verified(clusters: DataFrame, tokens: DataFrame, threshold: float) -> DataF
             if not len(asks) or not len(own):
                 continue
             every = len(asks) == len(own) == len(reps)
-            joined = np.zeros((len(reps), len(reps)), dtype=bool)
-            for i, hits in similar_pairs([sets[x] for x in asks], None if every else [sets[x] for x in own], threshold):
-                joined[asks[i], own[hits]] = joined[own[hits], asks[i]] = True
-            label = forest(joined)
+            pairs = [(np.full(len(hits), asks[i]), own[hits]) for i, hits in similar_pairs([sets[x] for x in asks], None if every else [sets[x] for x in own], threshold)]
+            label = forest(len(reps), *(np.concatenate(x) for x in zip(*pairs)))
             other = np.flatnonzero(label != np.arange(len(label)))
             if len(other):
                 yield pa.RecordBatch.from_arrays([group.column(0).slice(0, len(other)), pa.array(reps[other]), pa.array(reps[label[other]])], names=["cluster", "a", "b"])
 
-    rows = clusters.join(tokens, "rep").select("cluster", "rep", "asks", "own", "tokens")
+    rows = small(clusters).join(tokens, "rep").select("cluster", "rep", "asks", "own", "tokens")
     return rows.repartition("cluster").sortWithinPartitions("cluster", "rep").mapInArrow(compare, "cluster long, a long, b long")
 
 
@@ -278,9 +279,9 @@ def _central(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(central, "key long, pivot long")
 
 
-def _of(tokens: DataFrame, reps: DataFrame) -> DataFrame:
-    """The tokens (rep, tokens) of these sets, as a table: what is joined with it moves no other tokens."""
-    return cut(tokens.join(small(cut(reps.select("rep").distinct())), "rep", "left_semi"))
+def _of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows (rep, ...) of these sets, as a table: what is joined with it moves no others."""
+    return cut(rows.join(small(cut(reps.select("rep").distinct())), "rep", "left_semi"))
 
 
 def candidates(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
@@ -307,13 +308,14 @@ def candidates(sets: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD,
             """Clusters of the cells of rows, some of which go to every cell; asks and own may look at `at`, the cell."""
             cells = F.when(everywhere, F.sequence(F.lit(0), n_cells - 1)).otherwise(F.array(cell))
             dealt = rows.withColumn("at", F.explode(cells)).select(F.xxhash64("key", "at").alias("key"), "rep", asks.alias("asks"), own.alias("own"))
-            return cut(_clusters(dealt.join(samples, "rep"), LOOSE))
+            return cut(_clusters(dealt.join(hot, "rep"), LOOSE))
 
-        pivots = cut(_central(large.where(cell == 0).join(samples, "rep"), threshold))
+        hot = _of(samples, large)
+        pivots = cut(_central(large.where(cell == 0).join(hot, "rep"), threshold))
         large = large.join(pivots, "key", "left").withColumn("pivot", F.coalesce("pivot", F.lit(-1)))  # -1: no set in the first cell
         stars = celled(large, F.col("rep") == F.col("pivot"), **both)
         clusters.append(stars)
-        edges = cut(_verified(stars.distinct(), _of(tokens, stars), threshold))
+        edges = cut(_verified(cut(stars.distinct()), _of(tokens, stars), threshold))
         label = edges.select("cluster", F.col("a").alias("rep"), F.col("b").alias("label")).unionByName(edges.select("cluster", F.col("b").alias("rep"), F.col("b").alias("label")).distinct())
         own = label.join(cut(pivots.select(F.col("pivot").alias("rep")).distinct()), "rep").withColumnRenamed("rep", "pivot")
         near = cut(label.join(own, ["cluster", "label"]).select("pivot", "rep", F.lit(True).alias("near")).distinct())
@@ -399,7 +401,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = REC
     weights = classes.select("rep", "weight")
     # Two sets are linked with each other; more are compared in blocks, each pair of blocks by itself.
     dealt = group.join(sizes, "label").where("sets > 2").withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-    members = dealt.withColumnRenamed("vertex", "rep").join(weights, "rep").join(tokens, "rep")
+    members = small(cut(dealt.withColumnRenamed("vertex", "rep").join(weights, "rep"))).join(tokens, "rep")
     blocks = cut(members.groupBy("label", "own", "blocks").agg(F.collect_list(F.struct("rep", "weight", "tokens")).alias("sets")))  # about BLOCK sets each
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("label").alias("g"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), "sets")
     counted = _counted(paired, threshold)
