@@ -362,20 +362,20 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, thresh
 def _counted(pairs: DataFrame, threshold: float) -> DataFrame:
     """rep, near from rows (g, p, q, side, sets), the sets (rep, weight, tokens) of a block of class g that meets another: rep is linked with sets of weight near."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, 3):
-            blocks = [group.column(4).slice(i, 1).flatten() for i in range(group.num_rows)]
-            if group.column(1)[0].as_py() != group.column(2)[0].as_py() and len(blocks) < 2:
-                continue  # the other block got no set
-            reps, weights = ([x.field(name).to_numpy() for x in blocks] for name in ("rep", "weight"))
-            tokens = [_tokens_of(x.field("tokens")) for x in blocks]
-            linked = [np.zeros(len(x), dtype=np.int64) for x in reps]
-            for i, hits in similar_pairs(tokens[0], tokens[1] if len(blocks) > 1 else None, threshold):
-                linked[0][i] += weights[-1][hits].sum()
-                linked[-1][hits] += weights[0][i]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(linked))], names=["rep", "near"])
-
-    return pairs.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "side").select("g", "p", "q", "side", "sets").mapInArrow(compare, "rep long, near long")
+    def compare(group: pa.Table) -> pa.Table:
+        blocks = [x.flatten() for _, x in sorted((side, group.column("sets").combine_chunks().slice(i, 1)) for i, side in enumerate(group.column("side").to_pylist()))]
+        if group.column("p")[0].as_py() != group.column("q")[0].as_py() and len(blocks) < 2:
+            blocks = []  # the other block got no set
+        reps, weights = ([x.field(name).to_numpy() for x in blocks] for name in ("rep", "weight"))
+        tokens = [_tokens_of(x.field("tokens")) for x in blocks]
+        linked = [np.zeros(len(x), dtype=np.int64) for x in reps]
+        for i, hits in similar_pairs(tokens[0], tokens[1] if len(blocks) > 1 else None, threshold) if blocks else ():
+            linked[0][i] += weights[-1][hits].sum()
+            linked[-1][hits] += weights[0][i]
+        none = np.zeros(0, np.int64)
+        return pa.table({"rep": np.concatenate([none, *reps]), "near": np.concatenate([none, *linked])})
+
+    return pairs.groupBy("g", "p", "q").applyInArrow(compare, "rep long, near long")
 
 
 def near_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
