@@ -97,7 +97,8 @@ def chunk_text_100(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY md5(text)")
 def exact_dedup(spark, d):
-    return drop_duplicates(t(spark, d, "documents"), content_hash("text"), "doc_id").select("doc_id", content_hash("text").alias("digest"))
+    slim = t(spark, d, "documents").select("doc_id", content_hash("text").alias("digest"))
+    return drop_duplicates(slim, "digest", "doc_id")
 
 
 @query(
@@ -107,9 +108,10 @@ def exact_dedup(spark, d):
     FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS turn FROM documents) WHERE turn = 1"""
 )
 def ingestion_report(spark, d):
-    marked = mark_duplicates(t(spark, d, "documents"), content_hash("text"), "doc_id")
+    slim = t(spark, d, "documents").select("doc_id", "lang", "source", content_hash("text").alias("digest"), x.word_count("text").alias("words"), F.octet_length("text").alias("size"))
+    marked = mark_duplicates(slim, "digest", "doc_id")
     return prof.ingestion_stats(
-        marked.withColumns({"words": F.when(~F.col("duplicate"), x.word_count("text")), "size": F.when(~F.col("duplicate"), F.octet_length("text"))}),
+        marked.withColumns({c: F.when(~F.col("duplicate"), F.col(c)) for c in ("words", "size")}),
         form="source",
         duplicates=F.count(F.when(F.col("duplicate"), 1)),
     ).withColumn("total_docs", F.col("total_docs") - F.col("duplicates"))
@@ -201,7 +203,12 @@ def html_title_headings_links(spark, d):
     return t(spark, d, "pages").select("page_id", html_metadata("html").alias("m")).select("page_id", "m.title", "m.headings", "m.links")
 
 
-@query()
+#: Enough for these pages: no quoted > in a tag, only scripts and styles without text, and a few character references.
+VISIBLE_SQL = r"""SELECT page_id, list_aggregate(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<i>', 'gs'), '<!--.*?-->', '<i>', 'gs'), '<[^>]*>'),
+    lambda s: regexp_replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 'string_agg', chr(10)) AS text FROM pages"""
+
+
+@query(VISIBLE_SQL)
 def html_visible_text(spark, d):
     return t(spark, d, "pages").select("page_id", html_text("html").alias("text"))
 
@@ -321,9 +328,17 @@ def entity_distribution(spark, d):
     return ent.entity_shares(_entities(spark, d))
 
 
-@query("SELECT conv_id, turn, '' AS system, text AS user, '' AS assistant FROM conversations")
+@query(
+    """SELECT a.conv_id, a.turn, coalesce(s.text, 'none') AS system, a.text AS user, b.text AS assistant FROM conversations a
+    JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
+    LEFT JOIN conversations s ON a.conv_id = s.conv_id AND s.role = 'system' AND s.turn = a.turn - 1 WHERE a.role = 'user'"""
+)
 def export_openai(spark, d):
-    return export.chat_examples(t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", *[F.get("messages", i)["content"].alias(role) for i, role in enumerate(("system", "user", "assistant"))])
+    """Questions with their answers and, where it stands right before, the system text."""
+    turns = t(spark, d, "conversations")
+    of = lambda role, shift, name: turns.where(F.col("role") == role).select("conv_id", (F.col("turn") + shift).alias("turn"), F.col("text").alias(name))
+    pairs = of("user", 0, "input").join(of("assistant", -1, "output"), ["conv_id", "turn"]).join(of("system", 1, "instruction"), ["conv_id", "turn"], "left").fillna({"instruction": "none"})
+    return export.chat_examples(pairs, "conv_id", "turn").select("conv_id", "turn", *[F.get("messages", i)["content"].alias(role) for i, role in enumerate(("system", "user", "assistant"))])
 
 
 @query("SELECT CAST(n AS VARCHAR) AS id, text, doc_id, lang FROM (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE trim(text) <> ''")
@@ -332,7 +347,7 @@ def export_rag(spark, d):
     return export.rag_documents(docs, "doc_id").select("id", "text", "metadata.doc_id", "metadata.lang")
 
 
-@query()
+@query("""SELECT conv_id, CAST(to_json(list({'turn': turn, 'role': role, 'text': text} ORDER BY turn)) AS VARCHAR) AS turns FROM conversations GROUP BY conv_id""")
 def export_csv_cells(spark, d):
     turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return export.csv_cells(turns)
@@ -344,9 +359,18 @@ def json_extract(spark, d):
     return t(spark, d, "events").select("event_id", text.alias("json")).where("json is not null")
 
 
-@query("SELECT event_id, event_type AS dataset_type, event_id % 2 = 0 AS valid FROM events")
+#: Answers as a model gives them: text around the object, fields that are missing or null, an unclosed object, none at all.
+DESIGN_TEXT = """concat('so: ', CASE WHEN event_id % 7 = 6 THEN 'nothing' ELSE concat('{"dataset_type":"', event_type, '"', CASE WHEN event_id % 7 = 1 THEN '' ELSE ',"tasks":["t"]' END,
+    ',"ideal_schema":{"f":"d"},"labeling_strategy":{"type":', CASE WHEN event_id % 7 = 2 THEN 'null' ELSE '"x"' END, ',"labels":["a"]},"optimal_format":"jsonl"', CASE WHEN event_id % 7 = 3 THEN '' ELSE '}' END) END, ' done')"""
+
+
+@query(
+    rf"""SELECT event_id, event_type AS dataset_type, coalesce(json_valid(j) AND json_extract_string(j, '$.dataset_type') IS NOT NULL AND json_type(j, '$.tasks') = 'ARRAY' AND json_type(j, '$.ideal_schema') = 'OBJECT'
+    AND json_extract_string(j, '$.labeling_strategy.type') IS NOT NULL AND json_type(j, '$.labeling_strategy.labels') = 'ARRAY' AND json_extract_string(j, '$.optimal_format') IS NOT NULL, false) AS valid
+    FROM (SELECT event_id, event_type, CASE WHEN json_valid(o) THEN o END AS j FROM (SELECT *, nullif(regexp_extract({DESIGN_TEXT}, '(?s)\{{.*\}}'), '') AS o FROM events))"""
+)
 def json_validate(spark, d):
-    design = F.format_string('so: {"dataset_type":"%s","tasks":["t"],"ideal_schema":{"f":"d"},"labeling_strategy":{"type":"x","labels":["a"]}%s} done', "event_type", F.when(F.col("event_id") % 2 == 0, ',"optimal_format":"jsonl"').otherwise(""))
+    design = F.expr(DESIGN_TEXT)
     parsed = t(spark, d, "events").select("event_id", "event_type", parse_design(design).alias("r"))
     return parsed.select("event_id", F.coalesce("r.decision.dataset_type", "event_type").alias("dataset_type"), F.col("r.error").isNull().alias("valid"))
 

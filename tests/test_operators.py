@@ -123,3 +123,37 @@ def test_clients_and_design(spark):
         with pytest.raises(ValueError):
             brain.design(spark, profile, FakeClient(bad))
     assert "## Languages\n- en: 3" in brain.readme({"language_distribution": {"en": 3}, "total_documents": 3})
+
+
+def test_duplicates_with_nulls_and_ties(spark):
+    from quernstone.operators.dedup import drop_duplicates, mark_duplicates
+
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 3, "n"), (None, 4, "m"), ("b", None, "o"), ("b", None, "p"), ("c", None, "q"), ("c", 9, "r")]
+    df = spark.createDataFrame(rows, "digest string, place int, other string")
+    kept = drop_duplicates(df, "digest", "place").collect()
+    assert sorted((r["digest"] or "-", r["place"]) for r in kept if r["digest"] != "b") == [("-", 3), ("a", 1), ("c", 9)]
+    assert sum(r["digest"] == "b" for r in kept) == 1 and mark_duplicates(df, "digest", "place").count() == len(rows)
+
+
+def test_no_text_is_moved_to_find_duplicates(spark):
+    from quernstone.plans.catalogue import QUERIES
+
+    plan = QUERIES["exact_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("md5(")]
+    assert "text" not in above
+
+
+def test_term_counts(spark):
+    from quernstone.operators.keywords import term_counts
+
+    rows = spark.createDataFrame([("bb aa bb, aa. bb",), ("",), (None,), ("x",)], "text string").select(term_counts("text", 2).alias("t")).collect()
+    assert [{(c["term"], c["tf"]) for c in r["t"]} for r in rows] == [{("aa", 2), ("bb", 3), ("bb aa", 2), ("aa bb", 2)}, set(), set(), set()]
+
+
+def test_hot_terms_take_the_other_way(spark, monkeypatch):
+    from quernstone.operators import keywords as kw
+
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 7}") for i in range(3000)], "doc_id long, text string")
+    want = {(r["doc_id"], r["term"], r["df"]) for r in kw.tf_idf(docs).collect()}
+    monkeypatch.setattr(kw, "BROADCAST_TERMS", 1000)
+    assert {(r["doc_id"], r["term"], r["df"]) for r in kw.tf_idf(docs).collect()} == want
