@@ -205,7 +205,7 @@ def html_title_headings_links(spark, d):
 
 #: Enough for these pages: no quoted > in a tag, only scripts and styles without text, and a few character references.
 VISIBLE_SQL = r"""SELECT page_id, list_aggregate(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<i>', 'gs'), '<!--.*?-->', '<i>', 'gs'), '<[^>]*>'),
-    lambda s: regexp_replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 'string_agg', chr(10)) AS text FROM pages"""
+    lambda s: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')), lambda s: s <> ''), 'string_agg', chr(10)) AS text FROM pages"""
 
 
 @query(VISIBLE_SQL)
