@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, has_code, has_dialogue, megabytes, noise_ratio, safe_ratio, word_count
+from ..functions.text import col, has_code, has_dialogue, megabytes, noise_ratio, safe_ratio
 
 # Which ratios decide on the dataset type, in this order.
 CHAT_ABOVE, CODE_ABOVE, LANGUAGES_ABOVE = 0.4, 0.3, 2
@@ -32,6 +32,12 @@ def members(docs: DataFrame, topic: str, doc_id: str = "doc_id") -> DataFrame:
     return docs.groupBy(topic).agg(F.array_sort(F.collect_list(doc_id)).alias("doc_ids"))
 
 
+def member_blocks(docs: DataFrame, topic: str, doc_id: str = "doc_id", most: int = 10_000) -> DataFrame:
+    """topic, block, doc_ids in order: documents by hash in blocks of about `most` of the corpus, so that no row grows with a topic."""
+    blocks = max(1, -(-docs.count() // most))
+    return docs.groupBy(topic, F.pmod(F.xxhash64(doc_id), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(doc_id)).alias("doc_ids"))
+
+
 def dataset_type(dialogue: Column, code: Column, languages: Column) -> Column:
     return F.when(dialogue > CHAT_ABOVE, "chat_dataset").when(code > CODE_ABOVE, "technical_dataset").when(languages > LANGUAGES_ABOVE, "multilingual_dataset").otherwise("mixed_dataset")
 
@@ -74,7 +80,3 @@ def head_sample(docs: DataFrame, order: str, n: int) -> DataFrame:
 def batch_summary(labelled: DataFrame) -> DataFrame:
     """One row: rows, average confidence, rows for review."""
     return labelled.agg(F.count("*").alias("rows"), F.round(F.avg("confidence_score"), 4).alias("avg_confidence"), F.count(F.when(F.col("needs_review"), 1)).alias("needs_review"))
-
-
-def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumns({"words": word_count(text).cast("long"), "char_count": F.length(text).cast("long"), "noise": noise_ratio(text), "dialogue": has_dialogue(text), "code": has_code(text)})

@@ -7,6 +7,7 @@ rows, `labels` the task results, `events.props` the JSON texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ from ..operators.clustering import kmeans
 from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
 from ..operators.label import Decision, Models, label
 from ..providers.brain import parse_design
-from ..providers.clients import FakeClient
+from ..providers.clients import GENERATIVE, FakeClient, generate_column, usage
+from ..session import scratch
 from ..sinks import export
+from ..sources.files import read_any_text, scan_files
 from ..sources.folder import json_values
 from ..sources.html import html_metadata, html_text
+from .pipeline import ingest_texts, kept, with_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -385,3 +389,74 @@ def auto_label(spark, d):
     decision = Decision("qa", ("classification", "ner", "intent", "sentiment", "topic", "clustering"), ("This message is a greeting", "cancel_order", "complaint"))
     done = label(t(spark, d, "conversations"), decision, Models(client=FakeClient()))
     return done.select("conv_id", "turn", "classification.label", F.size("entities").alias("n_entities"), "intent.intent", F.col("sentiment.label").alias("sentiment"), "topic_id", "cluster_id", "qa_pairs", "confidence_score", "needs_review")
+
+
+#: The i-th task answers the questions whose conversation is i modulo the number of tasks.
+PROMPTS_SQL = " ".join(f"WHEN {i} THEN '{task.prompt.replace('{context}', '')}'" for i, task in enumerate(GENERATIVE.values()))
+GENERATED_SQL = f"""WITH p AS (SELECT conv_id, turn, replace(CASE conv_id % {len(GENERATIVE)} {PROMPTS_SQL} END, '{{text}}', text) AS prompt FROM conversations)
+    SELECT conv_id, turn, 'reply to ' || length(prompt) || ' characters: ' || split_part(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'), chr(10), 1) AS answer FROM p"""
+
+
+def _generated(spark, d):
+    turns = t(spark, d, "conversations")
+    return [(task, generate_column(turns.where(F.col("conv_id") % len(GENERATIVE) == i), task, FakeClient(), out="answer")) for i, task in enumerate(GENERATIVE)]
+
+
+@query(GENERATED_SQL)
+def generated_answers(spark, d):
+    """Every generating task, by the deterministic client."""
+    return reduce(DataFrame.unionByName, [df.select("conv_id", "turn", "answer") for _, df in _generated(spark, d)])
+
+
+@query(
+    f"""WITH p AS (SELECT conv_id, turn, conv_id % {len(GENERATIVE)} AS i, length(replace(CASE conv_id % {len(GENERATIVE)} {PROMPTS_SQL} END, '{{text}}', text)) AS chars FROM conversations), a AS ({GENERATED_SQL})
+    SELECT CASE i {' '.join(f"WHEN {i} THEN '{task}'" for i, task in enumerate(GENERATIVE))} END AS task, count(*) AS calls, CAST(0 AS BIGINT) AS failed, CAST(sum(chars) AS BIGINT) AS prompt_chars, CAST(sum(length(answer)) AS BIGINT) AS answer_chars
+    FROM p JOIN a USING (conv_id, turn) GROUP BY i"""
+)
+def model_usage(spark, d):
+    """What the calls of each task came to."""
+    return reduce(DataFrame.unionByName, [usage(df, task, out="answer").select(F.lit(task).alias("task"), "*") for task, df in _generated(spark, d)])
+
+
+def _text_files(spark, d) -> str:
+    """A folder with a text file for each document; a new line ends each."""
+    folder = scratch(spark)
+    t(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text")).repartition("name").write.partitionBy("name").text(folder)
+    return folder
+
+
+FILE_TEXT_SQL = r"regexp_replace(coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g')"
+
+
+@query(f"SELECT 'd' || doc_id AS name, md5({FILE_TEXT_SQL}) AS text_md5 FROM documents")
+def files_any_text(spark, d):
+    """Every document as a file, read back as text."""
+    name = F.regexp_extract("path", "name=([^/]*)/", 1)
+    return read_any_text(spark, _text_files(spark, d)).select(name.alias("name"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    rf"""WITH f AS (SELECT doc_id AS n, 'd' || doc_id AS name, coalesce(text, '') || chr(10) AS raw, {FILE_TEXT_SQL} AS text FROM documents), first AS (SELECT raw, min(name || '/') AS name FROM f GROUP BY raw),
+    k AS (SELECT f.* FROM f JOIN first ON f.raw = first.raw AND f.name || '/' = first.name WHERE regexp_replace(text, '\s+', '', 'g') <> ''), l AS ({_lang_sql()})
+    SELECT 'doc_' || (row_number() OVER (ORDER BY k.name || '/') - 1) AS doc_id, k.name, '.txt' AS format, CAST(octet_length(encode(raw)) AS BIGINT) AS size, detected AS lang,
+    CAST(len({WORDS_SQL.format('text')}) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS char_count FROM k JOIN l ON l.doc_id = k.n"""
+)
+def files_ingested(spark, d):
+    """Every document as a file: scanned, hashed, decoded, deduplicated, and numbered in the order of paths."""
+    texts, _ = ingest_texts(scan_files(spark, _text_files(spark, d)))
+    docs = with_ids(kept(texts, scratch(spark)))
+    return docs.select("doc_id", F.regexp_extract("origin_path", "name=([^/]*)/", 1).alias("name"), "format", "size", "lang", "words", "char_count")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def file_jsonl(spark, d):
+    """JSON lines, written and read back."""
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return spark.read.schema(turns.schema).json(export.jsonl(turns, scratch(spark)))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def file_csv(spark, d):
+    """CSV, written and read back."""
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return spark.read.schema(turns.schema).csv(export.csv(turns, scratch(spark)), header=True, multiLine=True, escape='"', emptyValue="")

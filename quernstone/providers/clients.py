@@ -10,11 +10,15 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..logs import logger
+
 # Default models, token limits and time limit.
 PRIMARY_MODEL, FALLBACK_MODEL = "llama-3.1-8b-instant", "claude-haiku-4-5-20251001"
+PRIMARY_URL, FALLBACK_URL = "https://api.groq.com/openai/v1", "https://api.anthropic.com/v1"
+PRIMARY_KEY, FALLBACK_KEY, MESSAGES_VERSION = "GROQ_API_KEY", "ANTHROPIC_API_KEY", "2023-06-01"
 FALLBACK_TOKENS, TASK_TOKENS, TIMEOUT_S = 2048, 512, 30
 
 
@@ -28,7 +32,7 @@ class HttpClient:
 
     url: str
     model: str = PRIMARY_MODEL
-    key_variable: str = "GROQ_API_KEY"
+    key_variable: str = PRIMARY_KEY
     max_tokens: int = TASK_TOKENS
     temperature: float = 0.0
     json_mode: bool = False
@@ -38,9 +42,30 @@ class HttpClient:
         body = {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
         if self.json_mode:
             body["response_format"] = {"type": "json_object"}
-        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {os.environ[self.key_variable]}", "Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=TIMEOUT_S) as reply:
-            return json.load(reply)["choices"][0]["message"]["content"]
+        return _post(f"{self.url}/chat/completions", body, {"Authorization": f"Bearer {os.environ[self.key_variable]}"})["choices"][0]["message"]["content"]
+
+
+@dataclass(frozen=True)
+class MessagesClient:
+    """The other common form: the system text stands apart, and a token limit is required."""
+
+    url: str = FALLBACK_URL
+    model: str = FALLBACK_MODEL
+    key_variable: str = FALLBACK_KEY
+    max_tokens: int = FALLBACK_TOKENS
+    temperature: float = 0.0
+
+    def generate(self, prompt: str, system: str = "") -> str:
+        body = {"model": self.model, "max_tokens": self.max_tokens, "temperature": self.temperature, "messages": [{"role": "user", "content": prompt}]}
+        if system:
+            body["system"] = system
+        return _post(f"{self.url}/messages", body, {"x-api-key": os.environ[self.key_variable], "anthropic-version": MESSAGES_VERSION})["content"][0]["text"]
+
+
+def _post(url: str, body: dict, headers: dict[str, str]) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {**headers, "Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=TIMEOUT_S) as reply:
+        return json.load(reply)
 
 
 @dataclass(frozen=True)
@@ -54,9 +79,10 @@ class WithFallback:
         if self.primary:
             try:
                 return self.primary.generate(prompt, system)
-            except Exception:
+            except Exception as e:
+                logger.warning("the primary model failed: %s", e)
                 if not self.fallback:
-                    raise ValueError("the primary model failed and there is no fallback") from None
+                    raise ValueError("the primary model failed and there is no fallback") from e
         if not self.fallback:
             raise ValueError("no model client is configured")
         try:
@@ -65,6 +91,12 @@ class WithFallback:
             raise RuntimeError("no model client could answer") from e
 
 
+def default_client() -> WithFallback:
+    """Both models, each if its key is in the environment. The primary answers in JSON."""
+    primary = HttpClient(PRIMARY_URL, json_mode=True) if os.environ.get(PRIMARY_KEY) else None
+    return WithFallback(primary, MessagesClient() if os.environ.get(FALLBACK_KEY) else None)
+
+
 @dataclass(frozen=True)
 class FakeClient:
     """A deterministic client: a reply that may name the prompt's length and first line."""
@@ -92,6 +124,26 @@ GENERATIVE = {
 }
 
 
+def usage(df: DataFrame, task: str, text: str = "text", out: str | None = None, context: str = "") -> DataFrame:
+    """One row on the calls behind a generated column: calls, failed, prompt_chars, answer_chars.
+
+    Taken from the rows themselves, so repeated tasks count once.
+    """
+    answer = F.col(out or GENERATIVE[task].output)
+    return df.agg(
+        F.count("*").alias("calls"),
+        F.count(F.when(answer.isNull(), 1)).alias("failed"),
+        F.coalesce(F.sum(F.length(rendered(task, text, context))), F.lit(0)).alias("prompt_chars"),
+        F.coalesce(F.sum(F.length(answer)), F.lit(0)).alias("answer_chars"),
+    )
+
+
+def rendered(task: str, text: str = "text", context: str = "") -> Column:
+    """The prompt of each row, as `render` makes it."""
+    before, after = GENERATIVE[task].prompt.replace("{context}", context).split("{text}")
+    return F.concat(F.lit(before), F.coalesce(text, F.lit("")), F.lit(after))
+
+
 def render(task: str, text: str, context: str = "") -> str:
     return GENERATIVE[task].prompt.replace("{context}", context).replace("{text}", text)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     context.addPyFile(archive)
     context._quernstone_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in spark.checkpoint.dir, which all machines share. Only a session in one process may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{folder.rstrip('/')}/quernstone-{uuid.uuid4().hex}"

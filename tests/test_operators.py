@@ -157,3 +157,54 @@ def test_hot_terms_take_the_other_way(spark, monkeypatch):
     want = {(r["doc_id"], r["term"], r["df"]) for r in kw.tf_idf(docs).collect()}
     monkeypatch.setattr(kw, "BROADCAST_TERMS", 1000)
     assert {(r["doc_id"], r["term"], r["df"]) for r in kw.tf_idf(docs).collect()} == want
+
+
+def test_two_model_forms(monkeypatch):
+    """Each client against a server that checks its form; the second answers when the first fails."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quernstone.providers import clients
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers, body))
+            fail = body["messages"][-1]["content"] == "fail" and self.path.endswith("completions")
+            reply = {"choices": [{"message": {"content": "first"}}]} if self.path.endswith("completions") else {"content": [{"type": "text", "text": "second"}]}
+            self.send_response(500 if fail else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    monkeypatch.setenv(clients.PRIMARY_KEY, "one")
+    monkeypatch.setenv(clients.FALLBACK_KEY, "two")
+    try:
+        both = WithFallback(clients.HttpClient(url), clients.MessagesClient(url))
+        assert (both.generate("hello", "be brief"), both.generate("fail", "be brief")) == ("first", "second")
+    finally:
+        server.shutdown()
+    assert [path for path, _, _ in seen] == ["/chat/completions", "/chat/completions", "/messages"]
+    assert seen[0][1]["Authorization"] == "Bearer one" and seen[0][2]["messages"][0] == {"role": "system", "content": "be brief"}
+    assert seen[2][1]["x-api-key"] == "two" and seen[2][2]["system"] == "be brief" and seen[2][2]["max_tokens"] == clients.FALLBACK_TOKENS
+    chosen = clients.default_client()
+    assert chosen.primary.json_mode and chosen.fallback.model == clients.FALLBACK_MODEL
+    monkeypatch.delenv(clients.PRIMARY_KEY)
+    monkeypatch.delenv(clients.FALLBACK_KEY)
+    with pytest.raises(ValueError, match="no model client"):
+        clients.default_client().generate("x")
+
+
+def test_member_blocks(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "IF(id < 90, 'big', 'small') AS topic")
+    blocks = prof.member_blocks(docs, "topic", most=10).collect()
+    assert sorted(i for r in blocks for i in r["doc_ids"]) == list(range(100)) and max(len(r["doc_ids"]) for r in blocks) < 40
+    assert prof.member_blocks(docs.where("false"), "topic").count() == 0
