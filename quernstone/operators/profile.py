@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, has_code, has_dialogue, megabytes, noise_ratio, safe_ratio
+from ..session import spread
 
 # Which ratios decide on the dataset type, in this order.
 CHAT_ABOVE, CODE_ABOVE, LANGUAGES_ABOVE = 0.4, 0.3, 2
@@ -49,7 +50,7 @@ def dataset_profile(docs: DataFrame, text: str = "text", lang: str = "lang", top
     one row, so that the last step only sees as many rows as there are such pairs.
     """
     known = F.col(text).isNotNull()
-    parts = docs.groupBy(F.col(topic).alias("topic"), F.col(lang).alias("lang")).agg(
+    parts = spread(docs.select(text, lang, topic)).groupBy(F.col(topic).alias("topic"), F.col(lang).alias("lang")).agg(
         F.count("*").alias("n"),
         F.count(F.when(known, 1)).alias("known"),
         F.sum(F.when(known, noise_ratio(text))).alias("noise"),

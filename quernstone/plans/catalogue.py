@@ -24,7 +24,7 @@ from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
 from ..operators.label import Decision, Models, label
 from ..providers.brain import parse_design
 from ..providers.clients import GENERATIVE, FakeClient, generate_column, usage
-from ..session import scratch
+from ..session import scratch, spread
 from ..sinks import export
 from ..sources.files import read_any_text, scan_files
 from ..sources.folder import json_values
@@ -162,7 +162,7 @@ def _lang_sql() -> str:
 
 @query(_lang_sql())
 def lang_detect(spark, d):
-    return t(spark, d, "documents").select("doc_id", lang.detect_language("text").alias("detected"))
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", lang.detect_language("text").alias("detected"))
 
 
 TERMS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), '\s+'), lambda w: length(w) > 1)"
@@ -319,7 +319,7 @@ def _entity_sql() -> str:
 
 def _entities(spark, d):
     text = F.expr(ENTITY_TEXT_SQL.replace("VARCHAR", "STRING"))
-    return t(spark, d, "documents").select("doc_id", ent.rule_entities(text).alias("entities"))
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", ent.rule_entities(text).alias("entities"))
 
 
 @query(_entity_sql())

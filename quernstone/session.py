@@ -1,4 +1,4 @@
-"""Makes the package known to Python workers that don't find it themselves."""
+"""What depends on the session: the package on the workers, the shared folder, the cores."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 64 << 20  # what a core reads of a table that is large enough
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -34,3 +35,11 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return f"{folder.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df itself; an input too small to have a split for every core is first shuffled, by keys if there are any."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPLIT_BYTES:
+        return df
+    return df.repartition(*keys) if keys else df.repartition(cores)
