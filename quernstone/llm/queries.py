@@ -18,6 +18,9 @@ from .op07_lines import line_dedup
 from .op08_quality import quality
 from .op09_chat import CHAT, chat_format, formatted, read_back, unescape
 from .op10_decontaminate import contaminated
+from .op11_negatives import hard_negatives
+from .op12_tokens import Vocabulary, token_counts
+from .op13_fim import fill_in_middle, restored
 
 #: Weights that the sources take in turn, what the mix holds of all words, and the most of a source.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
@@ -29,6 +32,10 @@ LINE_MIN_DOCS, LINE_MIN_CHARS = 10, 1
 QUALITY_THRESHOLD = 0.3
 #: Share of a full copy's alignment score from which a document counts as contaminated.
 LEAK_SCORE = 0.5
+#: Session setting with the vocabulary's file; without it the one of the installed public tokenizers.
+VOCABULARY = "spark.quernstone.tokens.model"
+TOKEN_LIMIT = 4096
+FIM_SEED, FIM_RATE, FIM_SPM = "7", 100, 50
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +96,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), LEAK_SCORE)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved)
+
+
+def vocabulary_path(spark: SparkSession) -> str:
+    named = spark.conf.get(VOCABULARY, None)
+    if not named:
+        import public_tokenizers
+
+        named = public_tokenizers.path("piece_bpe_32k.model")
+    return str(named)
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), Vocabulary.from_model(vocabulary_path(spark)), TOKEN_LIMIT)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), FIM_SEED, FIM_RATE, FIM_SPM)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
 SQL_OP1 = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -179,6 +210,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM coded GROUP BY conv_id
 """
 
+SQL_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER best AS INT) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER best <= 3
+"""
+
+SQL_OP13 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), drawn AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM docs
+), cuts AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM drawn
+), parts AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_dedup": op2_dedup,
@@ -190,5 +252,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "op11_negatives": op11_negatives,
+    "op12_tokens": op12_tokens,
+    "op13_fim": op13_fim,
 }
-ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op3_nearjoin": SQL_OP3, "op7_lines": SQL_OP7, "op9_chat": SQL_OP9}
+ORACLE_SQL = {"op1_mix": SQL_OP1, "op2_dedup": SQL_OP2, "op3_nearjoin": SQL_OP3, "op7_lines": SQL_OP7, "op9_chat": SQL_OP9, "op11_negatives": SQL_OP11, "op13_fim": SQL_OP13}
