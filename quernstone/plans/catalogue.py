@@ -20,6 +20,7 @@ from ..operators import language as lang
 from ..operators import profile as prof
 from ..operators import similarity as sim
 from ..operators.clustering import kmeans
+from ..operators.density import density_topics as dense
 from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
 from ..operators.label import Decision, Models, label
 from ..providers.brain import parse_design
@@ -302,6 +303,11 @@ def domain_detect(spark, d):
     return sim.best_domain(sim.mean_vector(vectors, "embedding"), "embedding", {k: v[0] for k, v in templates.items()})
 
 
+@query()
+def density_topics(spark, d):
+    return dense(t(spark, d, "embeddings"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return kmeans(t(spark, d, "embeddings"), "embedding").select("vec_id", "cluster_id")

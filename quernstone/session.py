@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,6 +38,36 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and return that table: its lineage ends there, and a lost executor costs no recomputation.
+
+    The tables are deleted when the driver ends, or by release() before.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(release)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release() -> None:
+    """Delete the tables that cut() wrote; frames that still read them can't be used any more."""
+    while _tables:
+        try:
+            delete(*_tables.pop())
+        except Exception:  # the session has ended
+            return
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df itself; an input too small to have a split for every core is first shuffled, by keys if there are any."""
     cores = df.sparkSession.sparkContext.defaultParallelism
