@@ -16,7 +16,9 @@ from ..functions import text as x
 from ..functions.confidence import confidence, needs_review
 from ..operators import entities as ent
 from ..operators import keywords as kw
+from ..operators import langmodel
 from ..operators import language as lang
+from ..operators import phrases
 from ..operators import profile as prof
 from ..operators import similarity as sim
 from ..operators.clustering import kmeans
@@ -166,6 +168,37 @@ def lang_detect(spark, d):
     return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", lang.detect_language("text").alias("detected"))
 
 
+# Rows whose id is a multiple of five are held out from learning.
+LANG_MODEL_SQL = r"""WITH RECURSIVE plain AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, ' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+|[\x{10000}-\x{10FFFF}]+', ' ', 'g'), ' +', ' ', 'g')) || ' ' AS t FROM documents),
+    grams AS MATERIALIZED (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM plain WHERE t <> '  '),
+    n3 AS MATERIALIZED (SELECT lang, g, count(*) AS n FROM grams WHERE NOT held_out GROUP BY ALL), n2 AS MATERIALIZED (SELECT lang, substr(g, 2) AS g, sum(n) AS n FROM n3 GROUP BY ALL), n1 AS MATERIALIZED (SELECT lang, g[2] AS g, sum(n) AS n FROM n2 GROUP BY ALL),
+    total AS (SELECT lang, sum(n) AS every, count(*) AS kinds FROM n1 GROUP BY lang), c2 AS (SELECT lang, g[:2] AS c, sum(n) AS n, count(*) AS t FROM n3 GROUP BY ALL), c1 AS (SELECT lang, g[1] AS c, sum(n) AS n, count(*) AS t FROM n2 GROUP BY ALL),
+    asked AS MATERIALIZED (SELECT DISTINCT g FROM grams),
+    p AS MATERIALIZED (SELECT l.lang, a.g, ln(CASE WHEN c2.n IS NULL THEN q ELSE (coalesce(n3.n, 0) + c2.t * q) / (c2.n + c2.t)::DOUBLE END) AS log FROM
+      (SELECT l.lang, a.g, CASE WHEN c1.n IS NULL THEN r ELSE (coalesce(n2.n, 0) + c1.t * r) / (c1.n + c1.t)::DOUBLE END AS q FROM
+        (SELECT l.lang, a.g, (coalesce(n1.n, 0) + 1) / (l.every + l.kinds + 1)::DOUBLE AS r FROM asked a CROSS JOIN total l LEFT JOIN n1 ON n1.lang = l.lang AND n1.g = a.g[3]) AS x(lang, g, r)
+        JOIN total l ON l.lang = x.lang JOIN asked a ON a.g = x.g LEFT JOIN n2 ON n2.lang = x.lang AND n2.g = substr(x.g, 2) LEFT JOIN c1 ON c1.lang = x.lang AND c1.c = x.g[2]) AS y(lang, g, q)
+      JOIN total l ON l.lang = y.lang JOIN asked a ON a.g = y.g LEFT JOIN n3 ON n3.lang = y.lang AND n3.g = y.g LEFT JOIN c2 ON c2.lang = y.lang AND c2.c = y.g[:2]),
+    s AS (SELECT doc_id, p.lang, sum(log) / count(*) AS log FROM grams JOIN p USING (g) GROUP BY ALL),
+    best AS (SELECT doc_id, lang AS detected, log FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY log DESC, lang) = 1)"""
+
+
+def _told(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", "text", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    return langmodel.detect(docs, langmodel.train(docs.where("not held_out")))
+
+
+@query(f"{LANG_MODEL_SQL} SELECT doc_id, held_out, coalesce(detected, 'unknown') AS detected, round(log, 6) AS log FROM plain LEFT JOIN best USING (doc_id)")
+def lang_learnt(spark, d):
+    return _told(spark, d).select("doc_id", "held_out", "detected", F.round("detected_log", 6).alias("log"))
+
+
+@query(f"{LANG_MODEL_SQL} SELECT lang, count(*) AS held_out_docs, count(*) FILTER (detected = lang) AS right_docs FROM plain LEFT JOIN best USING (doc_id) WHERE held_out GROUP BY lang")
+def lang_learnt_accuracy(spark, d):
+    told = _told(spark, d).where("held_out")
+    return told.groupBy("lang").agg(F.count("*").alias("held_out_docs"), F.count_if(F.col("detected") == F.col("lang")).alias("right_docs"))
+
+
 TERMS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), '\s+'), lambda w: length(w) > 1)"
 
 
@@ -179,6 +212,31 @@ def keyword_topk(spark, d):
     return kw.top_terms(t(spark, d, "documents"))
 
 
+STOPS_SQL = f"(length(w) < {phrases.SHORTEST} OR w IN ({', '.join(map(repr, phrases.STOPS))}))"
+PHRASES_SQL = rf"""WITH said AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?\n]+'), lambda s:
+      list_filter(list_transform(regexp_split_to_array(s, '[^\p{{L}}\p{{N}} \t]+'), lambda c: list_filter(regexp_split_to_array(c, '[ \t]+'), lambda w: w <> '')), lambda c: len(c) > 0)), lambda s: len(s) > 0) AS ss FROM documents),
+    sentences AS (SELECT doc_id, unnest(ss) AS cs, generate_subscripts(ss, 1) - 1 AS s FROM said),
+    stretches AS MATERIALIZED (SELECT doc_id, s, unnest(cs) AS ws, generate_subscripts(cs, 1) - 1 AS c FROM sentences),
+    tokens AS (SELECT doc_id, s, c, generate_subscripts(ws, 1) AS i, unnest(ws) AS raw, ws FROM stretches),
+    words AS (SELECT doc_id, s, lower(raw) AS w, raw, lower(CASE WHEN i > 1 THEN ws[i - 1] END) AS l, lower(ws[i + 1]) AS r, c = 0 AND i = 1 AS opens FROM tokens),
+    terms AS MATERIALIZED (SELECT doc_id, w, count(*) AS tf, count(*) FILTER (upper(raw) = raw AND lower(raw) <> raw AND length(raw) > 1) AS acronym, count(*) FILTER (raw[1] <> lower(raw[1]) AND NOT opens) AS name,
+      median(DISTINCT s) AS middle, count(DISTINCT s) AS spread, max(s) AS last, coalesce(count(DISTINCT l) / nullif(count(l), 0)::DOUBLE, 0) AS dl, coalesce(count(DISTINCT r) / nullif(count(r), 0)::DOUBLE, 0) AS dr FROM words GROUP BY doc_id, w),
+    whole AS (SELECT doc_id, coalesce(avg(tf) FILTER (NOT {STOPS_SQL}) + stddev_pop(tf) FILTER (NOT {STOPS_SQL}), 0) AS usual, max(tf) AS most, max(last) + 1 AS n FROM terms GROUP BY doc_id),
+    features AS (SELECT doc_id, w AS term, tf, greatest(acronym, name) / ln(1 + tf) AS casing, ln(ln(3 + middle)) AS position, coalesce(tf / nullif(usual, 0), 0) AS frequency, 1 + (dl + dr) * tf / most AS related, spread / n::DOUBLE AS spread FROM terms JOIN whole USING (doc_id)),
+    scores AS MATERIALIZED (SELECT *, related * position / (casing + (frequency + spread) / related) AS score FROM features)"""
+
+
+@query(f'{PHRASES_SQL} SELECT doc_id, term, tf, round(casing, 6) AS casing, round(position, 6) AS position, round(frequency, 6) AS frequency, round(related, 6) AS related, round(spread, 6) AS spread, round(score, 6) AS score FROM scores')
+def keyphrase_features(spark, d):
+    found = phrases.term_features(t(spark, d, "documents")).withColumnRenamed("case", "casing")
+    return found.select("doc_id", "term", "tf", *[F.round(c, 6).alias(c) for c in ("casing", "position", "frequency", "related", "spread", "score")])
+
+
+@query()
+def keyphrases(spark, d):
+    return phrases.key_phrases(t(spark, d, "documents"))
+
+
 @query()
 def keywords(spark, d):
     return kw.keywords(t(spark, d, "documents"))

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPLIT_BYTES = 64 << 20  # what a core reads of a table that is large enough
 ROOT = Path(__file__).resolve().parent.parent
@@ -68,6 +69,15 @@ def release() -> None:
             return
 
 
+#: Rows (of a few hundred bytes at most) up to which a written table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a table that is cheap to count, with a broadcast hint if it has at most `limit` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df itself; an input too small to have a split for every core is first shuffled, by keys if there are any."""
     cores = df.sparkSession.sparkContext.defaultParallelism
