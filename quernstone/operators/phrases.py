@@ -8,10 +8,12 @@ computed there by expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, mul, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from .language import STOP_WORDS
 
 #: Words of a phrase at most, phrases of a document, and the similarity of spelling from which the worse phrase goes.
@@ -39,20 +41,21 @@ def _stretches(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _features(stretches: DataFrame) -> DataFrame:
-    """id, key, term, tf and the five features, with the score of each term. Groups are terms of one document."""
+    """id, key, term, tf and the five features, with the score of each term and its places. Groups are terms of one document."""
     at = lambda i: F.lower(F.get("words", i))
-    word = F.explode(F.transform("words", lambda w, i: F.struct(F.lower(w).alias("term"), w.alias("word"), at(i - 1).alias("left"), at(i + 1).alias("right"), ((i == 0) & (F.col("stretch") == 0)).alias("opens"))))
-    words = stretches.select("id", "key", "sentence", word.alias("w")).select("id", "key", "sentence", "w.*")
+    word = F.explode(F.transform("words", lambda w, i: F.struct(F.lower(w).alias("term"), w.alias("word"), at(i - 1).alias("left"), at(i + 1).alias("right"), ((i == 0) & (F.col("stretch") == 0)).alias("opens"), i.alias("i"))))
+    words = stretches.select("id", "key", "sentence", "stretch", word.alias("w")).select("id", "key", "sentence", "stretch", "w.*")
     upper = (F.upper("word") == F.col("word")) & (F.lower("word") != F.col("word"))
     named = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))
     terms = words.groupBy("id", "key", "term").agg(
         F.count("*").alias("tf"),
+        F.collect_list(F.struct("sentence", "stretch", "i", "left", "right")).alias("places"),
         F.count_if(upper & (F.length("word") > 1)).alias("acronym"),
         F.count_if(named & ~F.col("opens")).alias("name"),
-        F.sort_array(F.collect_set("sentence")).alias("in"),
-        F.coalesce(F.size(F.collect_set("left")) / F.nullif(F.count("left"), F.lit(0)), F.lit(0.0)).alias("dl"),
-        F.coalesce(F.size(F.collect_set("right")) / F.nullif(F.count("right"), F.lit(0)), F.lit(0.0)).alias("dr"),
     )
+    others = lambda side: F.filter(F.col("places")[side], lambda w: w.isNotNull())
+    different = lambda side: F.coalesce(F.size(F.array_distinct(others(side))) / F.nullif(F.size(others(side)), F.lit(0)), F.lit(0.0)).alias(f"different {side}")
+    terms = terms.select("*", F.sort_array(F.array_distinct("places.sentence")).alias("in"), different("left"), different("right"))
     plain = F.when(~is_stop(F.col("term")), F.col("tf"))
     whole = terms.groupBy("id").agg(F.coalesce(F.avg(plain) + F.stddev_pop(plain), F.lit(0.0)).alias("usual"), F.max("tf").alias("most"), (F.max(F.array_max("in")) + 1).alias("sentences"))
     half = F.size("in") / 2
@@ -61,11 +64,12 @@ def _features(stretches: DataFrame) -> DataFrame:
         "id",
         "key",
         "term",
+        "places",
         "tf",
         (F.greatest("acronym", "name") / F.log(1 + F.col("tf"))).alias("case"),
         F.log(F.log(3 + median)).alias("position"),
         F.coalesce(F.col("tf") / F.nullif("usual", F.lit(0.0)), F.lit(0.0)).alias("frequency"),
-        (1 + (F.col("dl") + F.col("dr")) * F.col("tf") / F.col("most")).alias("related"),
+        (1 + (F.col("different left") + F.col("different right")) * F.col("tf") / F.col("most")).alias("related"),
         (F.size("in") / F.col("sentences")).alias("spread"),
     )
     return found.withColumn("score", F.col("related") * F.col("position") / (F.col("case") + (F.col("frequency") + F.col("spread")) / F.col("related")))
@@ -79,11 +83,11 @@ def term_features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def _without_copies(ranked: Column, k: int, same: float) -> Column:
     """The first k of (score, phrase) that aren't spelt like a better one: edit distance over the longer length, from 1, is at least `same`."""
 
-    def add(kept: Column, x: Column) -> Column:
+    def taken(kept: Column, x: Column) -> Column:
         near = lambda y: 1 - F.levenshtein(x["phrase"], y["phrase"]) / F.greatest(F.length(x["phrase"]), F.length(y["phrase"])) >= same
         return F.when((F.size(kept) >= k) | F.exists(kept, near), kept).otherwise(F.array_append(kept, x))
 
-    return F.aggregate(ranked, F.array().cast("array<struct<score:double,phrase:string>>"), add)
+    return F.aggregate(ranked, F.array().cast("array<struct<score:double,phrase:string>>"), taken)
 
 
 def key_phrases(docs: DataFrame, k: int = PHRASES, longest: int = LONGEST, same: float = SAME, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -94,14 +98,24 @@ def key_phrases(docs: DataFrame, k: int = PHRASES, longest: int = LONGEST, same:
     a key are documents of their own. docs is read twice and should be a table.
     """
     stretches = _stretches(docs, text, key)
-    scores = _features(stretches).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "score"))).alias("scores"))  # the terms of one document
-    runs = F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)), lambda n: F.transform(F.slice("words", i + 1, n), F.lower))))
-    phrases = stretches.select("id", "key", runs.alias("runs")).select("id", "key", F.explode("runs").alias("run"))
-    fit = ~is_stop(F.get("run", F.lit(0))) & ~is_stop(F.element_at("run", -1)) & ~F.exists("run", lambda w: w.rlike(r"\p{N}"))
-    counted = phrases.where(fit).groupBy("id", "key", "run").agg(F.count("*").alias("n"))
-    values = F.transform(F.filter("run", lambda w: ~is_stop(w)), lambda w: F.element_at("scores", w))
-    total = F.aggregate("values", F.struct(F.lit(1.0).alias("product"), F.lit(0.0).alias("sum")), lambda s, x: F.struct((s["product"] * x).alias("product"), (s["sum"] + x).alias("sum")))
-    score = let(total, lambda s: F.round(s["product"] / (F.col("n") * (1 + s["sum"])), 9))
-    scored = counted.join(scores, "id").select("id", "key", "n", F.array_join("run", " ").alias("phrase"), values.alias("values")).select("id", "key", F.struct(score.alias("score"), "phrase").alias("p"))
+    # Scored terms go back to their places, so that phrases are slices of a stretch.
+    scored = _features(stretches).select("id", "key", "places", "term", "score", is_stop(F.col("term")).alias("stop"), F.col("term").rlike(r"\p{N}").alias("digit"))
+    placed = scored.select("id", "key", F.explode("places").alias("at"), "term", "score", "stop", "digit").select("id", "key", "at.*", "term", "score", "stop", "digit")
+    lines = placed.groupBy("id", "key", "sentence", "stretch").agg(F.sort_array(F.collect_list(F.struct("i", "term", "score", "stop", "digit"))).alias("words"))
+
+    def run(n: int) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            every = [F.get("words", i + j) for j in range(n)]
+            fit = ~every[0]["stop"] & ~every[-1]["stop"] & ~reduce(or_, [x["digit"] for x in every])
+            told = [F.when(x["stop"], None).otherwise(x["score"]) for x in every]
+            product, total = (reduce(f, [F.coalesce(x, F.lit(none)) for x in told]) for f, none in ((mul, 1.0), (add, 0.0)))
+            return F.when(fit, F.struct(F.concat_ws(" ", *[x["term"] for x in every]).alias("phrase"), product.alias("product"), total.alias("total")))
+
+        return F.filter(F.transform("words", of), lambda x: x.isNotNull())
+
+    runs = lines.select("id", "key", F.explode(F.concat(*[run(n + 1) for n in range(longest)])).alias("run")).select("id", "key", "run.*")
+    counted = runs.groupBy("id", "key", "phrase").agg(F.count("*").alias("n"), F.max("product").alias("product"), F.max("total").alias("total"))
+    score = F.round(F.col("product") / (F.col("n") * (1 + F.col("total"))), 9)
+    scored = counted.select("id", "key", F.struct(score.alias("score"), "phrase").alias("p"))
     best = scored.groupBy("id", "key").agg(_without_copies(F.sort_array(F.collect_list("p")), k, same).alias("best"))  # the phrases of one document
     return best.select(F.col("key").alias(key), F.posexplode("best").alias("at", "p")).select(key, (F.col("at") + 1).alias("rank"), "p.phrase", "p.score")
