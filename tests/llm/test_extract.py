@@ -1,6 +1,7 @@
 """Line-block extraction: the curve against a plain version, parts of pages, and whole tables with and without article marks."""
 
 import html as entities
+import itertools
 import re
 from pathlib import Path
 
@@ -9,45 +10,36 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import op06_extract as extract
-from quernstone.llm.op06_extract import extract_main, main_text, text_stretch
+from quernstone.llm.op06_extract import extract_main, main_text, text_stretches
 from quernstone.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(["word"] * 60)
-MENU = "<p>menu item</p>" * 40
+MENU = "<p><a href=x>menu item</a></p>" * 40
+SHORT = "".join(f"<p>line {i} ok</p>" for i in range(8))
 
 
-def plain_stretch(weights, window, surge, dive):
-    """The rule of text_stretch, by the definition."""
+def plain_stretches(weights, window):
+    """The rule of text_stretches, by the definition."""
     n = len(weights)
-    if n < window:
-        own = [i for i in range(n) if weights[i]]
-        return (own[0], own[-1] + 1) if own else (0, 0)
-    total = lambda i: sum(weights[i : i + window])
-    over = lambda i: range(max(0, i - window + 1), min(i, n - window) + 1)
-    surge = min(surge, max(total(i) for i in range(n - window + 1)))
-    high = [all(total(j) >= dive for j in over(i)) for i in range(n)]
-    surging = [i for i in range(n) if high[i] and any(total(j) >= surge for j in over(i))]
-    if not surging:
-        return 0, 0
-    a, b = surging[0], surging[-1]
-    while a > 0 and high[a - 1]:
-        a -= 1
-    while b < n - 1 and high[b + 1]:
-        b += 1
-    while a <= b and not weights[a]:
-        a += 1
-    while a <= b and not weights[b]:
-        b -= 1
-    return (a, b + 1) if a <= b else (0, 0)
+    windows = [set(range(i, i + window)) for i in range(n - window + 1)] or [set(range(n))]
+    total = lambda w: sum(weights[i] for i in w)
+    low = set().union(*(w for w in windows if not total(w)))
+    found = []
+    for high, group in itertools.groupby(range(n), key=lambda i: i not in low):
+        own = list(group)
+        heavy = [i for i in own if weights[i]]
+        if high and heavy:
+            found.append((heavy[0], heavy[-1] + 1, max(total(w) for w in windows if w & set(own))))
+    return found
 
 
 def test_the_curve_against_a_plain_version():
     rng = np.random.default_rng(6)
     for _ in range(3000):
-        weights = [int(x) for x in rng.choice([0, 3, 9, 20, 60, 200], int(rng.integers(0, 14)), p=[0.25, 0.2, 0.25, 0.1, 0.1, 0.1])]
-        window, surge, dive = int(rng.integers(1, 5)), int(rng.choice([50, 120])), int(rng.choice([10, 30, 48]))
-        assert text_stretch(weights, window, surge, dive) == plain_stretch(weights, window, surge, dive)
+        weights = [int(x) for x in rng.choice([0, 3, 60, 200], int(rng.integers(0, 16)), p=[0.6, 0.2, 0.1, 0.1])]
+        window = int(rng.integers(1, 5))
+        assert text_stretches(weights, window) == plain_stretches(weights, window)
 
 
 @pytest.mark.parametrize(
@@ -66,7 +58,19 @@ def test_the_curve_against_a_plain_version():
         ('<article><p>Text</p><section id="comments"><article class="comment">nice</article></section></article>', "Text"),
         (f"<p>{LONG}</p><nav>n</nav><p>The end.</p>", f"{LONG} The end."),
         (f'<div><h2>Head</h2><div class="ad">Buy</div><p>{LONG}</p><div class=ad>Buy</div><p>Last.</p></div>', f"Head {LONG} Last."),
-        # Without marks the curve decides.
+        # Short lines stay, wherever they are.
+        (f"<div>{SHORT}</div>", " ".join(f"line {i} ok" for i in range(8))),
+        (f"<h1>Title</h1><p>{LONG}</p>{''.join(f'<p>line {i} ok</p>' for i in range(5))}", f"Title {LONG} line 0 ok line 1 ok line 2 ok line 3 ok line 4 ok"),
+        (f"<p>{LONG}</p>{'<p>- Yes.</p><p>- No?</p>' * 3}<p>final line.</p>", f"{LONG} {'- Yes. - No? ' * 3}final line."),
+        # Within articles only the parts themselves go, by their whole names; an unclosed one ends with its parent.
+        ('<article><p class="share-price">1</p><p class="nav-note">2</p><p class="ad-hoc">3</p><p class="social-policy">4</p><p id=banner>5</p><p class=related>6</p><p class="ad">no</p><p>7</p></article>', "1 2 3 4 5 6 7"),
+        ("<article><p>a</p><div><nav>menu</div><p>b</p><section><aside>side</section><p>c</article>", "a b c"),
+        ("<article><p>a<nav>menu <b>x</b></article><article><p>b</article>", "a b"),
+        # Main surges by itself, but the curve cuts within it, and keeps text beside it.
+        (f"<main><p>Short.</p>{MENU}<p>Last.</p></main>", "Short. Last."),
+        (f"<p>{LONG}</p><main><p>In.</p></main><p>Out.</p>", f"{LONG} In."),
+        (f"<article><p>See</p>{'<p><a href=x>menu item</a></p>' * 3}</article>", "See menu item menu item menu item"),
+        # Without tags the curve decides.
         (MENU, ""),
         (f"{MENU}<h2>Head</h2><p>{LONG}</p><p>A last paragraph of some length.</p>{MENU}", f"Head {LONG} A last paragraph of some length."),
         (f"<p>{LONG}</p>{'<li>pear</li>' * 6}<p>{LONG}</p>", f"{LONG} pear pear pear pear pear pear {LONG}"),
@@ -79,10 +83,17 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
-def test_surge_and_dive_decide(monkeypatch):
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_surge_and_dive_decide(monkeypatch, spark):
     page = f"{MENU}<h2>Head</h2><p>{LONG}</p>{MENU}"
     assert main_text(page) == f"Head {LONG}"
-    monkeypatch.setattr(extract, "text_stretch", lambda weights: (0, len(weights)))
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    with_curve = [main_text(x) for x in pages]
+    # Without dives, all of the pages' lines that aren't marked are kept; without surges, nothing is.
+    bare = [re.sub(r"</?(?:nav|article)>", "", x) for x in pages]
+    assert [main_text(x) for x in bare] == with_curve
+    monkeypatch.setattr(extract, "text_stretches", lambda weights, window=4: [(0, len(weights), 10**9)])
+    assert all(main_text(x) != y for x, y in zip(bare, with_curve))
     assert len(main_text(page)) > 2 * len(LONG)
 
 
