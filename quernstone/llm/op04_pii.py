@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 ROUNDS = 6
+#: Groups of digits that are looked through at once for card numbers.
+GROUPS = 32
 # Countries by the length of their IBANs.
 IBAN_LENGTHS = {
     15: "NO",
@@ -200,8 +202,9 @@ def _cards(value: Column, secret: str) -> Column:
     def scan(groups: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             def tried(count: int) -> Column:
-                part = F.array_join(F.slice(groups, i + 1, count), "")
-                fits = (F.size(groups) >= i + count) & F.forall(F.slice(groups, i + 1, F.lit(4)), lambda g: F.length(F.regexp_replace(g, "[ -]", "")) == 4)
+                own = [F.get(groups, i + j) for j in range(count)]  # a slice would go through all groups
+                part = F.concat(*own)  # null beyond the end
+                fits = part.isNotNull() & F.forall(F.array(*own[:4]), lambda g: F.length(F.regexp_replace(g, "[ -]", "")) == 4)
                 return F.when(fits, F.when(_valid_card(F.regexp_replace(part, "[^0-9]", "")), part))
 
             def go_on(found: Column) -> Column:
@@ -215,8 +218,16 @@ def _cards(value: Column, secret: str) -> Column:
 
             return F.when(i < state["next"], state).otherwise(let(F.coalesce(tried(5), tried(4)), go_on))
 
-        start = F.struct(F.array().cast("array<struct<old:string,kind:string,new:string>>").alias("done"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["done"])
+        # Each step copies what its block has done so far, and each block the list of blocks: linear up to millions of groups.
+        none = F.array().cast("array<struct<old:string,kind:string,new:string>>")
+
+        def block(state: Column, first: Column) -> Column:
+            put = lambda made: F.struct(F.concat(state["done"], F.array(made["done"])).alias("done"), made["next"].alias("next"))
+            own = F.sequence(first, F.least(first + GROUPS, F.size(groups)) - 1)
+            return F.aggregate(own, F.struct(none.alias("done"), state["next"].alias("next")), step, put)
+
+        start = F.struct(F.array().cast("array<array<struct<old:string,kind:string,new:string>>>").alias("done"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1, F.lit(GROUPS)), start, block, lambda x: F.flatten(x["done"]))
 
     return let(F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0)), scan)
 
