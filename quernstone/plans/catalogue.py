@@ -21,7 +21,9 @@ from ..operators import language as lang
 from ..operators import phrases
 from ..operators import profile as prof
 from ..operators import similarity as sim
+from ..operators import wordvectors
 from ..operators.clustering import kmeans
+from ..operators.clustering import learnt_topics as topics_of_texts
 from ..operators.density import density_topics as dense
 from ..operators.dedup import content_hash, drop_duplicates, mark_duplicates
 from ..operators.label import Decision, Models, label
@@ -361,6 +363,29 @@ def domain_detect(spark, d):
     return sim.best_domain(sim.mean_vector(vectors, "embedding"), "embedding", {k: v[0] for k, v in templates.items()})
 
 
+@query(
+    f"""WITH w AS MATERIALIZED (SELECT doc_id, {TERMS_SQL} AS w FROM documents), known AS (SELECT term FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term HAVING count(*) >= 5),
+    near AS (SELECT w[i] AS x, w[i + j] AS y FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 5) AS r(j) WHERE i + j <= len(w)),
+    once AS MATERIALIZED (SELECT x, y, count(*) AS n FROM near WHERE x IN (SELECT term FROM known) AND y IN (SELECT term FROM known) GROUP BY ALL),
+    n AS MATERIALIZED (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT x AS a, y AS b, n FROM once UNION ALL SELECT y, x, n FROM once) GROUP BY ALL), s AS MATERIALIZED (SELECT a, sum(n) AS total FROM n GROUP BY a)
+    SELECT n.a, n.b, n.n, round(ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)), 6) AS ppmi FROM n JOIN s sa ON sa.a = n.a JOIN s sb ON sb.a = n.b
+    WHERE ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)) > 0"""
+)
+def ppmi_pairs(spark, d):
+    return wordvectors.ppmi(wordvectors.cooccurrences(t(spark, d, "documents"))).withColumn("ppmi", F.round("ppmi", 6))
+
+
+@query()
+def text_vectors(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    return wordvectors.text_vectors(docs, wordvectors.learn(docs))
+
+
+@query()
+def learnt_topics(spark, d):
+    return topics_of_texts(t(spark, d, "documents").select("doc_id", "text"))
+
+
 @query()
 def density_topics(spark, d):
     return dense(t(spark, d, "embeddings"))
