@@ -21,7 +21,7 @@ from ..operators import language as lang
 from ..operators import phrases
 from ..operators import profile as prof
 from ..operators import similarity as sim
-from ..operators import wordvectors
+from ..operators import gazetteer, wordvectors
 from ..operators.clustering import kmeans
 from ..operators.clustering import learnt_topics as topics_of_texts
 from ..operators.density import density_topics as dense
@@ -391,6 +391,21 @@ def density_topics(spark, d):
     return dense(t(spark, d, "embeddings"))
 
 
+@query(
+    r"""WITH texts AS (SELECT c_custkey, c_name || ' of ' || n_name || ', ' || r_name || '; ' || c_mktsegment || ' in the ' || r_name || ', not of ' || n_name || 'n' AS t FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    names AS (SELECT lower(n_name) AS name, 'GPE' AS label FROM nation UNION SELECT lower(r_name), 'LOC' FROM region),
+    hits AS (SELECT c_custkey, t, name, label, unnest(range(1, length(t) - length(name) + 2)) AS i FROM texts JOIN names ON contains(lower(t), name))
+    SELECT c_custkey, substr(t, i, length(name)) AS text, label, CASE label WHEN 'GPE' THEN 'Country / City / State' ELSE 'Geographic location' END AS description, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(name) AS INT) AS "end", 'gazetteer' AS source FROM hits
+    WHERE substr(lower(t), i, length(name)) = name AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[0-9A-Za-z_]')) AND NOT regexp_matches(substr(t, i + length(name), 1), '[0-9A-Za-z_]')"""
+)
+def gazetteer_entities(spark, d):
+    nation, region = t(spark, d, "nation"), t(spark, d, "region")
+    names = nation.select(F.col("n_name").alias("name"), F.lit("GPE").alias("label")).unionByName(region.select(F.col("r_name").alias("name"), F.lit("LOC").alias("label")))
+    told = t(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows by the schema
+    line = F.concat("c_name", F.lit(" of "), "n_name", F.lit(", "), "r_name", F.lit("; "), "c_mktsegment", F.lit(" in the "), "r_name", F.lit(", not of "), "n_name", F.lit("n"))
+    return gazetteer.find_names(told.select("c_custkey", line.alias("text")), names, key="c_custkey")
+
+
 @query()
 def kmeans_clusters(spark, d):
     return kmeans(t(spark, d, "embeddings"), "embedding").select("vec_id", "cluster_id")
