@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPLIT_BYTES = 64 << 20  # what a core reads of a table that is large enough
 ROOT = Path(__file__).resolve().parent.parent
 
+_tables: list[tuple[SparkSession, str]] = []
+
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once a session, unless PYTHONPATH names its folder there already."""
@@ -30,28 +32,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in spark.checkpoint.dir, which all machines share. Only a session in one process may do without."""
+    """A new folder name in spark.checkpoint.dir, which all machines share. Only a session in one process may do without.
+
+    What is written there is deleted when the driver ends, or by release() before.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{folder.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
-
-
-_tables: list[tuple[SparkSession, str]] = []
+    path = f"{folder.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(release)
+    _tables.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and return that table: its lineage ends there, and a lost executor costs no recomputation.
-
-    The tables are deleted when the driver ends, or by release() before.
-    """
+    """Write df as a table in the shared folder and return that table: its lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    if not _tables:
-        atexit.register(release)
-    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,7 +61,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release() -> None:
-    """Delete the tables that cut() wrote; frames that still read them can't be used any more."""
+    """Delete what was written to scratch folders, the tables of cut() among them; frames that still read them can't be used any more."""
     while _tables:
         try:
             delete(*_tables.pop())
