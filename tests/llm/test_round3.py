@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,19 @@ MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return Vocabulary.from_model(MODEL)
+    return both()[0]
 
 
 @pytest.fixture(scope="module")
 def library():
+    return both()[1]
+
+
+@cache
+def both():
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    return Vocabulary.from_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
 # -- tokens ------------------------------------------------------------------
@@ -40,12 +46,7 @@ PARTS = st.one_of(st.text(max_size=30), st.text("aeinrst  ▁\n\t.,<>/s0123", ma
 @given(st.lists(PARTS, max_size=8).map("".join))
 @settings(max_examples=400, deadline=None)
 def test_counts_equal_the_library(text):
-    global _model
-    if "_model" not in globals():
-        import sentencepiece
-
-        _model = Vocabulary.from_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    ours, theirs = _model
+    ours, theirs = both()
     assert ours.count(text) == len(theirs.encode(text))
 
 
