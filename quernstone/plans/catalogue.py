@@ -6,6 +6,7 @@ rows, `labels` the task results, `events.props` the JSON texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +22,7 @@ from ..operators import language as lang
 from ..operators import phrases
 from ..operators import profile as prof
 from ..operators import similarity as sim
-from ..operators import gazetteer, wordvectors
+from ..operators import gazetteer, tagger, wordvectors
 from ..operators.clustering import kmeans
 from ..operators.clustering import learnt_topics as topics_of_texts
 from ..operators.density import density_topics as dense
@@ -406,6 +407,44 @@ def gazetteer_entities(spark, d):
     return gazetteer.find_names(told.select("c_custkey", line.alias("text")), names, key="c_custkey")
 
 
+def _told_places(spark, d):
+    """Sentences on customers and suppliers by their rows, the names that gazetteers find there, and whether a place is held out from learning."""
+    nation, region = t(spark, d, "nation"), t(spark, d, "region")
+    named = lambda c, label: F.struct(F.col(c).alias("name"), F.lit(label).alias("label"))
+    # A nation's people and goods are named by its name with an n.
+    listed = nation.select(F.explode(F.array(named("n_name", "GPE"), F.struct(F.concat("n_name", F.lit("n")).alias("name"), F.lit("NORP").alias("label")))).alias("x")).unionByName(region.select(named("r_name", "LOC").alias("x"))).select("x.*")
+    rows = t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.col("c_name").alias("who"), F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("what"))
+    rows = rows.unionByName(t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.col("s_name").alias("who"), F.col("s_nationkey").alias("n_nationkey"), F.lit("parts").alias("what")))
+    places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")  # 25 and 5 rows by the schema
+    forms = (("{who} of {n_name} sells {what} in the {r_name}.", 0), ("In {r_name}, {n_name}n buyers pay {who} for {what}.", 1), ("{who} left {n_name} for the {r_name} with {what}", 2), ("{what}: no {n_name}n has heard of {who} or seen {n_name}", 3))
+    text = F.lit(None).cast("string")
+    for form, i in forms:
+        pieces = [F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", form) if p]
+        text = F.when(F.pmod(F.xxhash64("key"), F.lit(len(forms))) == i, F.concat(*pieces)).otherwise(text)
+    docs = rows.join(F.broadcast(places), "n_nationkey").select("key", text.alias("text"), (F.col("n_nationkey") % 5 == 0).alias("held_out"))
+    return docs, gazetteer.find_names(docs, listed, key="key")
+
+
+def _tagged_places(spark, d):
+    docs, names = _told_places(spark, d)
+    return docs, names, tagger.tag(docs, tagger.train(docs.where("not held_out"), names, key="key"), key="key")
+
+
+@query()
+def names_learnt(spark, d):
+    """Every name that the labeller sees, in sentences on places that it learnt from and in others."""
+    docs, _, found = _tagged_places(spark, d)
+    return found
+
+
+@query()
+def names_learnt_accuracy(spark, d):
+    """How many names of held-out nations it finds, by type."""
+    docs, names, found = _tagged_places(spark, d)
+    held = docs.where("held_out").select("key")
+    return tagger.agreement(found.join(held, "key", "left_semi"), names.join(held, "key", "left_semi"), "key")
+
+
 @query()
 def kmeans_clusters(spark, d):
     return kmeans(t(spark, d, "embeddings"), "embedding").select("vec_id", "cluster_id")
