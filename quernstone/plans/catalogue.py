@@ -22,7 +22,7 @@ from ..operators import language as lang
 from ..operators import phrases
 from ..operators import profile as prof
 from ..operators import similarity as sim
-from ..operators import gazetteer, tagger, wordvectors
+from ..operators import gazetteer, polarity, tagger, wordvectors
 from ..operators.clustering import kmeans
 from ..operators.clustering import learnt_topics as topics_of_texts
 from ..operators.density import density_topics as dense
@@ -364,18 +364,54 @@ def domain_detect(spark, d):
     return sim.best_domain(sim.mean_vector(vectors, "embedding"), "embedding", {k: v[0] for k, v in templates.items()})
 
 
-@query(
-    f"""WITH w AS MATERIALIZED (SELECT doc_id, {TERMS_SQL} AS w FROM documents), known AS (SELECT term FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term HAVING count(*) >= 5),
+PPMI_SQL = f"""WITH w AS MATERIALIZED (SELECT doc_id, {TERMS_SQL} AS w FROM documents), known AS (SELECT term FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term HAVING count(*) >= 5),
     near AS (SELECT w[i] AS x, w[i + j] AS y FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 5) AS r(j) WHERE i + j <= len(w)),
     once AS MATERIALIZED (SELECT x, y, count(*) AS n FROM near WHERE x IN (SELECT term FROM known) AND y IN (SELECT term FROM known) GROUP BY ALL),
-    n AS MATERIALIZED (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT x AS a, y AS b, n FROM once UNION ALL SELECT y, x, n FROM once) GROUP BY ALL), s AS MATERIALIZED (SELECT a, sum(n) AS total FROM n GROUP BY a)
-    SELECT n.a, n.b, n.n, round(ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)), 6) AS ppmi FROM n JOIN s sa ON sa.a = n.a JOIN s sb ON sb.a = n.b
-    WHERE ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)) > 0"""
-)
+    n AS MATERIALIZED (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT x AS a, y AS b, n FROM once UNION ALL SELECT y, x, n FROM once) GROUP BY ALL), s AS MATERIALIZED (SELECT a, sum(n) AS total FROM n GROUP BY a),
+    e AS MATERIALIZED (SELECT n.a, n.b, n.n, ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)) AS ppmi FROM n JOIN s sa ON sa.a = n.a JOIN s sb ON sb.a = n.b
+    WHERE ln(n.n * (SELECT sum(total) FROM s)::DOUBLE / (sa.total::DOUBLE * sb.total)) > 0)"""
+
+
+@query(f"{PPMI_SQL} SELECT a, b, n, round(ppmi, 6) AS ppmi FROM e")
 def ppmi_pairs(spark, d):
     return wordvectors.ppmi(wordvectors.cooccurrences(t(spark, d, "documents"))).withColumn("ppmi", F.round("ppmi", 6))
 
 
+POLARITY_SQL = f"""{PPMI_SQL}, r AS MATERIALIZED (SELECT toxic, list_distinct(w) AS w FROM w JOIN labels USING (doc_id) WHERE doc_id % 5 <> 0 AND toxic IN (0, 1)),
+    z AS (SELECT count(*)::DOUBLE AS n, sum(toxic)::DOUBLE AS yes FROM r), c AS (SELECT term, count(*)::DOUBLE AS n, sum(toxic)::DOUBLE AS yes FROM (SELECT toxic, unnest(w) AS term FROM r) GROUP BY term HAVING count(*) >= 5),
+    o AS MATERIALIZED (SELECT term, round(ln((c.yes + 0.5) * (z.n - z.yes - c.n + c.yes + 0.5) / ((c.n - c.yes + 0.5) * (z.yes - c.yes + 0.5))), 6) AS odds FROM c, z),
+    seeds AS MATERIALIZED ((SELECT term, -1 AS side FROM o ORDER BY odds DESC, term LIMIT {polarity.SEEDS}) UNION ALL (SELECT term, 1 AS side FROM o ORDER BY odds, term LIMIT {polarity.SEEDS})),
+    g AS MATERIALIZED (SELECT a AS term, sum(ppmi) AS d FROM e GROUP BY a), m AS MATERIALIZED (SELECT a, b, {1 - polarity.RESTART} * ppmi / sqrt(x.d * y.d) AS w FROM e JOIN g x ON x.term = a JOIN g y ON y.term = b),
+    k AS (SELECT term, max((side > 0)::INT)::DOUBLE AS p, max((side < 0)::INT)::DOUBLE AS n FROM seeds SEMI JOIN g USING (term) GROUP BY term),
+    w0 AS MATERIALIZED (SELECT term, coalesce(p / nullif((SELECT sum(p) FROM k), 0), 0) AS p, coalesce(n / nullif((SELECT sum(n) FROM k), 0), 0) AS n FROM k),
+    {", ".join(f"w{i} AS MATERIALIZED (SELECT term, sum(p) AS p, sum(n) AS n FROM (SELECT a AS term, w * p AS p, w * n AS n FROM m JOIN w{i - 1} ON b = term UNION ALL SELECT term, {polarity.RESTART} * p, {polarity.RESTART} * n FROM w0) GROUP BY term)" for i in range(1, polarity.ROUNDS + 1))},
+    idle AS (SELECT term, sqrt(d) / (SELECT sum(sqrt(d)) FROM g) AS idle FROM g),
+    lexicon AS MATERIALIZED (SELECT term, p, n, (p + idle) / (p + n + 2 * idle) AS polarity FROM w{polarity.ROUNDS} JOIN idle USING (term) WHERE p + n > 0)"""
+
+
+def _lexicon(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    seeds = polarity.seed_terms(docs, t(spark, d, "labels").where("doc_id % 5 <> 0"))
+    return docs, polarity.walk(wordvectors.ppmi(wordvectors.cooccurrences(docs)), seeds)
+
+
+@query(f"{POLARITY_SQL} SELECT term, round(p, 9) AS positive, round(n, 9) AS negative, round(polarity, 6) AS polarity FROM lexicon")
+def sentiment_terms(spark, d):
+    """Polarity of all terms, from seeds of the labelled documents that aren't held out."""
+    _, lexicon = _lexicon(spark, d)
+    return lexicon.select("term", F.round("positive", 9).alias("positive"), F.round("negative", 9).alias("negative"), F.round("polarity", 6).alias("polarity"))
+
+
+@query(
+    f"""{POLARITY_SQL}, x AS (SELECT doc_id, sum((2 * polarity - 1) * abs(2 * polarity - 1)) AS x, sum(abs(2 * polarity - 1)) AS w FROM (SELECT doc_id, unnest(w) AS term FROM w) JOIN lexicon USING (term) GROUP BY doc_id),
+    mean AS (SELECT doc_id, coalesce(round(x / nullif(w, 0), 6), 0) AS mean FROM documents LEFT JOIN x USING (doc_id))
+    SELECT doc_id, CASE WHEN mean > {polarity.FAR} THEN 'positive' WHEN mean > {polarity.BAND} THEN 'positive' WHEN mean >= -{polarity.BAND} THEN 'neutral' ELSE 'negative' END AS sentiment, mean FROM mean"""
+)
+def sentiment_learnt(spark, d):
+    docs, lexicon = _lexicon(spark, d)
+    return polarity.rate(docs, lexicon).select("doc_id", x.star_sentiment("label").alias("sentiment"), "mean")
+
+
 @query()
 def text_vectors(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
