@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.confidence import GENERATED, confidence, needs_review
 from ..functions.text import star_sentiment
 from ..providers import models
+from ..providers.answers import answered
 from ..providers.clients import GENERATIVE, Client, generate_column
 from .clustering import kmeans
 from .entities import rule_entities
@@ -40,7 +41,7 @@ class Decision:
 
 @dataclass(frozen=True)
 class Models:
-    """Plug-ins: columns from a text column; the client writes generated outputs."""
+    """Plug-ins: columns from a text column; the client writes generated outputs, each once if there is a `store` of answers (then with `<output>_error`)."""
 
     embedding: object = models.embedding
     embed: object = models.embed
@@ -48,6 +49,8 @@ class Models:
     stars: object = models.star_rating
     translate: object = models.untranslated
     client: Client | None = field(default=None)
+    store: str | None = None
+    model: str = ""
 
 
 def label(df: DataFrame, decision: Decision, plugins: Models = Models(), text: str = "text") -> DataFrame:
@@ -83,7 +86,10 @@ def label(df: DataFrame, decision: Decision, plugins: Models = Models(), text: s
             df = df.drop("_vector")
         if decision.dataset_type in GENERATIVE and plugins.client:
             out = GENERATIVE[decision.dataset_type].output
-            df = generate_column(df, decision.dataset_type, plugins.client, text, out, decision.context)
+            if plugins.store:
+                df = answered(df, decision.dataset_type, plugins.client, plugins.store, plugins.model, text, out, decision.context)
+            else:
+                df = generate_column(df, decision.dataset_type, plugins.client, text, out, decision.context)
             generated[out] = F.col(out)
     scored = df.withColumn("confidence_score", confidence(text, generated={k: v for k, v in generated.items() if k in GENERATED}, **signals))
     return scored.withColumn("needs_review", needs_review("confidence_score"))
