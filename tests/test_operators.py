@@ -208,3 +208,15 @@ def test_member_blocks(spark):
     blocks = prof.member_blocks(docs, "topic", most=10).collect()
     assert sorted(i for r in blocks for i in r["doc_ids"]) == list(range(100)) and max(len(r["doc_ids"]) for r in blocks) < 40
     assert prof.member_blocks(docs.where("false"), "topic").count() == 0
+
+
+def test_cosines_equal_the_expression_to_the_last_bit(spark):
+    from quernstone.functions.vectors import cosine, cosines
+
+    rows = [(i, [(i * 37 + j * 11) % 17 / 7 - 1 for j in range(5)]) for i in range(40)] + [(50, None), (51, [1.0]), (52, [None, 1.0, 1.0, 1.0, 1.0]), (53, [0.0] * 5), (54, [float("nan")] * 5), (55, [])]
+    others = [[0.1, 0.7, -0.3, 0.2, 0.9], [0.0] * 5, [3.0, 1.0, 4.0, 1.0, 5.0]]
+    both = spark.createDataFrame(rows, "k int, v array<double>").select(cosines("v", others).alias("a"), F.array(*[cosine("v", F.array(*map(F.lit, o))) for o in others]).alias("b"))
+    assert all(repr(r["a"]) == repr(r["b"]) for r in both.collect())
+    # Exemplars are no literals of the plan any more, which JVM expressions held one by one against each row.
+    many = sim.best_exemplar("v", {"a": [[float(i)] * 300 for i in range(30)]})
+    assert len(str(many._jc.toString())) < 5_000
