@@ -220,3 +220,14 @@ def test_cosines_equal_the_expression_to_the_last_bit(spark):
     # Exemplars are no literals of the plan any more, which JVM expressions held one by one against each row.
     many = sim.best_exemplar("v", {"a": [[float(i)] * 300 for i in range(30)]})
     assert len(str(many._jc.toString())) < 5_000
+
+
+def test_topics_and_clusters_are_learnt_once(spark, monkeypatch):
+    from quernstone.operators import label as module
+
+    calls = []
+    monkeypatch.setattr(module, "kmeans", lambda df, *a, out, **b: calls.append(out) or df.withColumn(out, F.lit(1)))
+    docs = spark.range(12).selectExpr("concat('text ', id) AS text")
+    done = module.label(docs, module.Decision("", ("topic", "clustering")))
+    assert calls == ["topic_id"] and done.where("topic_id <> cluster_id").count() == 0
+    assert module.label(docs.limit(3), module.Decision("", ("topic", "clustering"))).where("topic_id is null and cluster_id = 1").count() == 3
