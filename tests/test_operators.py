@@ -231,3 +231,12 @@ def test_topics_and_clusters_are_learnt_once(spark, monkeypatch):
     done = module.label(docs, module.Decision("", ("topic", "clustering")))
     assert calls == ["topic_id"] and done.where("topic_id <> cluster_id").count() == 0
     assert module.label(docs.limit(3), module.Decision("", ("topic", "clustering"))).where("topic_id is null and cluster_id = 1").count() == 3
+
+
+def test_row_cosine_equals_the_expression(spark):
+    from quernstone.functions.vectors import cosine, row_cosine
+
+    v = [[(i * 37 + j * 11) % 17 / 7 - 1 for j in range(4)] for i in range(1100)]
+    odd = [(None, v[0]), (v[0], None), ([1.0], v[0]), ([None, 1.0, 1.0, 1.0], v[0]), ([0.0] * 4, v[0]), ([], []), ([float("nan")] * 4, v[0]), ([2.0], [3.0])]
+    rows = spark.createDataFrame([*zip(v, v[1:]), *odd], "a array<double>, b array<double>").select(row_cosine("a", "b").alias("x"), cosine("a", "b").alias("y"))
+    assert all(repr(r["x"]) == repr(r["y"]) for r in rows.collect())
