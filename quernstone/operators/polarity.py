@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import NARROW_ROWS, cut, small
 from .keywords import terms
 
 #: Seeds of a side, share of a walk that starts anew in each round, rounds (what is left out is (1 - RESTART) ** ROUNDS at most).
@@ -43,27 +43,36 @@ def walk(entries: DataFrame, seeds: DataFrame, restart: float = RESTART, rounds:
     """term, positive, negative, polarity of all terms that a walk reaches on the symmetric entries a, b, ppmi.
 
     Seeds (term, side above or below 0) that are no term of the entries take no part, a term on both sides counts on both, and repeated seeds once.
-    A side without seeds is 0 everywhere.
+    A side without seeds is 0 everywhere. entries are read in each round and should be a table, or cheap to make from one; where its rows lie in ranges of a, a round moves no more than the terms.
     """
-    entries = cut(entries.select("a", "b", "ppmi"))
+    entries = entries.select("a", "b", "ppmi")
     degree = cut(entries.groupBy(F.col("a").alias("term")).agg(F.sum("ppmi").alias("d")))
-    of = lambda side: small(degree.withColumnsRenamed({"term": side, "d": f"{side} d"}))
-    moves = cut(entries.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("ppmi") / F.sqrt(F.col("a d") * F.col("b d"))).alias("w")))
-    known = seeds.select("term", F.signum("side").alias("side")).distinct().join(small(degree.select("term")), "term")
+    of = small(degree, NARROW_ROWS)
+    known = seeds.select("term", F.signum("side").alias("side")).distinct().join(degree.select("term"), "term")
     start = known.groupBy("term").agg(F.max((F.col("side") > 0).cast("double")).alias("p"), F.max((F.col("side") < 0).cast("double")).alias("n"))
     size = start.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
     share = lambda c: F.col(c) / F.lit(size[c] or 1.0)
     start = cut(start.select("term", share("p").alias("p"), share("n").alias("n")))
     now = start
+    root = F.sqrt("d")
     for _ in range(rounds):
-        near = moves.join(small(now.withColumnRenamed("term", "b")), "b").select(F.col("a").alias("term"), ((1 - restart) * F.col("w") * F.col("p")).alias("p"), ((1 - restart) * F.col("w") * F.col("n")).alias("n"))
+        # A walk leaves a term divided by the root of its degree and arrives so too.
+        held = small(cut(now.join(of, "term").select(F.col("term").alias("b"), (F.col("p") / root).alias("p"), (F.col("n") / root).alias("n"))), NARROW_ROWS)
+        sums = entries.join(held, "b").groupBy(F.col("a").alias("term")).agg(F.sum(F.col("ppmi") * F.col("p")).alias("p"), F.sum(F.col("ppmi") * F.col("n")).alias("n"))
+        near = sums.join(of, "term").select("term", ((1 - restart) * F.col("p") / root).alias("p"), ((1 - restart) * F.col("n") / root).alias("n"))
         again = start.select("term", (restart * F.col("p")).alias("p"), (restart * F.col("n")).alias("n"))
         now = cut(near.unionByName(again).groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     every = degree.agg(F.sum(F.sqrt("d"))).first()[0] or 1.0
-    both = now.where(F.col("p") + F.col("n") > 0).join(small(degree), "term").withColumn("idle", F.sqrt("d") / F.lit(every))
+    both = now.where(F.col("p") + F.col("n") > 0).join(of, "term").withColumn("idle", F.sqrt("d") / F.lit(every))
     return both.select("term", F.col("p").alias("positive"), F.col("n").alias("negative"), ((F.col("p") + F.col("idle")) / (F.col("p") + F.col("n") + 2 * F.col("idle"))).alias("polarity"))
 
 
+def walk_words(words: DataFrame, entries: DataFrame, seeds: DataFrame, **options) -> DataFrame:
+    """walk() on entries by numbers of words (id, term), from and to the words."""
+    numbered = seeds.join(words, "term").select(F.col("id").alias("term"), "side")
+    return walk(entries, numbered, **options).withColumnRenamed("term", "id").join(small(words, NARROW_ROWS), "id").select("term", "positive", "negative", "polarity")
+
+
 def rate(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, label ("4 stars"), score (0.5 to 1) and mean of each row of docs: the mean of its terms' polarity from -1 to 1, each weighing as much as it is far from 0.
 
@@ -71,7 +80,7 @@ def rate(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "do
     """
     placed = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.col(text).alias("text"))
     rows = placed.select("id", "key", F.explode_outer(terms("text")).alias("term"))
-    known = small(cut(lexicon.select("term", (2 * F.col("polarity") - 1).alias("x"))))
+    known = small(cut(lexicon.select("term", (2 * F.col("polarity") - 1).alias("x"))), NARROW_ROWS)
     sums = rows.join(known, "term", "left").groupBy("id", "key").agg(F.sum(F.col("x") * F.abs("x")).alias("x"), F.sum(F.abs("x")).alias("w"))
     mean = F.coalesce(F.round(F.try_divide("x", "w"), 6), F.lit(0.0))
     stars = F.when(F.col("mean") > FAR, 5).when(F.col("mean") > BAND, 4).when(F.col("mean") >= -BAND, 3).when(F.col("mean") >= -FAR, 2).otherwise(1)
