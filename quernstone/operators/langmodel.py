@@ -2,21 +2,28 @@
 
 A text is its letters in lower case, other characters being one blank. The probability of a letter after two others is
 mixed from trigram, bigram and letter counts of a language; what a language has seen less of falls back further. Learning is a
-count of n-grams; detection joins the trigrams of a text with the model's tables and adds logarithms. All of it is
-expressions and aggregations over whole texts; any number of languages.
+count of n-grams, which each task adds up for itself first; detection looks the trigrams of a whole text up in the model's tables, which are
+broadcast, and adds logarithms. Models of more than BROADCAST_GRAMS trigrams are joined instead. Any number of languages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col
-from ..session import cut, small
+from ..session import cut, small, spread
 
 UNKNOWN = "unknown"
+#: Trigrams of a model (with a number for each language) that are broadcast, and letters that a task looks up at once.
+BROADCAST_GRAMS, LETTERS = 500_000, 1_000_000
 #: What isn't a letter of the basic plane.
 _BREAKS = r"[^\p{L}]+|[\x{10000}-\x{10FFFF}]+"
 
@@ -31,6 +38,39 @@ def trigrams(text: Column | str) -> Column:
     return F.regexp_extract_all(letters(text), F.lit("(?=(...))"), F.lit(1))
 
 
+def _codes(strings: pa.Array) -> np.ndarray:
+    """Code points of all strings of an array, one after the other."""
+    return np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _grams(letters: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, trigrams) of an array of letters(): a trigram is a number of three times 16 bits."""
+    codes, sizes = _codes(letters), pc.utf8_length(letters).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for i in range(0, max(0, len(codes) - 2), LETTERS):
+        a, own = codes[i : i + LETTERS + 2], row[i : i + LETTERS + 2]
+        whole = own[:-2] == own[2:]
+        yield own[:-2][whole], (a[:-2] << 32 | a[1:-1] << 16 | a[2:])[whole]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """language, gram, n of rows of language, letters: sums of a task's batches, to be added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            turn = names.indices.to_numpy().astype(np.int64)
+            parts = [np.unique(turn[row] << 48 | gram, return_counts=True) for row, gram in _grams(batch.column(1))]
+            if not parts:
+                continue
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+            points = np.stack([keys >> 32 & 0xFFFF, keys >> 16 & 0xFFFF, keys & 0xFFFF], 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 48)), pa.array(points.view("<U3").ravel().tolist(), pa.string()), pa.array(n)], names=["language", "gram", "n"])
+
+    return docs.mapInArrow(run, "language string, gram string, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class LanguageModel:
     """Tables of gram and logs (an array with the logarithm for each language): of a letter after two (`three`) and after one (`two`), and alone (`one`),
@@ -56,8 +96,8 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Langua
 
     The tables have a row for each n-gram seen, whatever the number of texts.
     """
-    known = docs.where(F.col(language).isNotNull()).select(F.col(language).cast("string").alias("language"), F.explode(trigrams(text)).alias("gram"))
-    counted = cut(known.groupBy("language", "gram").agg(F.count("*").alias("n")))
+    known = docs.where(F.col(language).isNotNull()).select(F.col(language).cast("string").alias("language"), letters(text).alias("letters"))
+    counted = cut(_counted(spread(known)))
     languages = sorted(r[0] for r in counted.select("language").distinct().collect())
     a, b, c = (F.substring("gram", i, 1) for i in (1, 2, 3))
     three = counted.select("language", "gram", "n", F.concat(a, b).alias("ab"), F.concat(b, c).alias("bc"))
@@ -97,9 +137,72 @@ def detect(docs: DataFrame, model: LanguageModel, text: str = "text", out: str =
     """
     if {out, f"{out}_log"} & set(docs.columns):
         raise ValueError(f"{out} is a column already")
-    n = len(model.languages)
-    if not n:
+    if not model.languages:
         return docs.withColumns({out: F.lit(UNKNOWN), f"{out}_log": F.lit(None).cast("double")})
+    if model.three.count() > BROADCAST_GRAMS:
+        return _detect_joined(docs, model, text, out)
+    tables = [_Logs.of(table) for table in (model.three, model.after_two, model.two, model.after_one, model.one)]
+    held = docs.sparkSession.sparkContext.broadcast((tables, np.array(model.floor)))
+    packed = spread(docs).select(F.struct(*docs.columns).alias("row"), letters(text).alias("letters"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (three, after_two, two, after_one, one), floor = held.value
+
+        def logs(gram: np.ndarray) -> np.ndarray:
+            at = three.find(gram)
+            found = three.logs[at]
+            rare = np.flatnonzero(at < 0)  # only trigrams that no language has seen look into the shorter tables
+            if len(rare):
+                ab, bc, b, c = gram[rare] >> 16, gram[rare] & 0xFFFFFFFF, gram[rare] >> 16 & 0xFFFF, gram[rare] & 0xFFFF
+                found[rare] = after_two.get(ab, 0.0) + two.get(bc, after_one.get(b, 0.0) + one.get(c, floor))
+            return found
+
+        for batch in batches:
+            sums, n = np.zeros((batch.num_rows, len(floor))), np.zeros(batch.num_rows, np.int64)
+            for row, gram in _grams(batch.column(1)):
+                if len(row):
+                    starts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+                    sums[row[starts]] += np.add.reduceat(logs(gram), starts)
+                    n += np.bincount(row, minlength=len(n))
+            best, none = sums.argmax(axis=1), n == 0
+            mean = sums[np.arange(len(n)), best] / np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32), mask=none), pa.array(mean, mask=none)], names=["row", "best", "log"])
+
+    told = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("best", T.IntegerType()), T.StructField("log", T.DoubleType())]))
+    name = F.get(F.array(*[F.lit(x) for x in model.languages]), "best")
+    return told.select("row.*", F.coalesce(name, F.lit(UNKNOWN)).alias(out), F.col("log").alias(f"{out}_log"))
+
+
+@dataclass
+class _Logs:
+    """Grams as rising numbers, 16 bits a letter, and their logarithms for each language."""
+
+    grams: np.ndarray
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, table: DataFrame) -> _Logs:
+        rows = table.select("gram", "logs").toArrow()  # at most BROADCAST_GRAMS
+        gram, logs = rows["gram"].combine_chunks(), np.array(rows["logs"].to_pylist())
+        codes = _codes(gram).reshape(len(gram), -1)
+        numbers = sum(codes[:, -1 - i] << 16 * i for i in range(codes.shape[1]))
+        order = np.argsort(numbers)
+        return cls(numbers[order], logs[order])
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Where each gram is; -1 if it isn't."""
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, at, -1)
+
+    def get(self, grams: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        """Logarithms of each gram, or else other."""
+        at = self.find(grams)
+        return np.where((at < 0)[:, None], other, self.logs[at])
+
+
+def _detect_joined(docs: DataFrame, model: LanguageModel, text: str, out: str) -> DataFrame:
+    """detect() with tables of any size."""
+    n = len(model.languages)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id"))
     rows = packed.select("id", F.explode(trigrams(F.col("row")[text])).alias("gram"))
     found = rows.join(small(model.three.withColumnRenamed("logs", "l3")), "gram", "left")

@@ -58,3 +58,20 @@ def test_odd_rows(spark):
     assert {r["detected"] for r in langmodel.detect(docs, none).collect()} == {"unknown"}
     with pytest.raises(ValueError):
         langmodel.detect(docs.withColumn("detected", F.lit(1)), model)
+
+
+def test_looked_up_equals_joined(spark, monkeypatch):
+    texts = ["Die Katze läuft über das Dach", "the cat runs over the roof", "le chat court sur le toit", "zq\U0001d400x ñandú 12 \u0130b", "x", "", None, "  ", "ab " * 40]
+    docs = spark.createDataFrame([(i % 7, t, ("de", "en", "fr")[i % 3] if i < 3 else None) for i, t in enumerate(texts * 2)], "id int, text string, lang string")
+    monkeypatch.setattr(langmodel, "LETTERS", 7)  # pieces end within words and texts
+    model = langmodel.train(docs)
+    rows = lambda df: sorted((r["id"], r["text"] or "", r["detected"], round(r["detected_log"] or 0, 9)) for r in df.collect())
+    looked_up = rows(langmodel.detect(docs, model))
+    monkeypatch.setattr(langmodel, "BROADCAST_GRAMS", 0)
+    assert looked_up == rows(langmodel.detect(docs, model)) and len(looked_up) == 18 and [r[2] for r in looked_up].count("unknown") == 6
+
+
+def test_letters_are_looked_up_without_a_row_each(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "die katze", "de")], "id int, text string, lang string")
+    plan = langmodel.detect(docs, langmodel.train(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
