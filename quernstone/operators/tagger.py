@@ -2,7 +2,8 @@
 
 A word's tag is O, B-<label> or I-<label>. Features of a word and its neighbours are hashed to 2**bits rows of weights, so
 the model has a fixed size whatever it learns from, and may be broadcast. Learning mixes parameters: in each epoch every shard of the
-rows starts from the same weights, and their changes are averaged. Decoding is map only and takes whole texts, in time linear in their length.
+rows starts from the same weights, and their changes are averaged. Texts are decoded many at a time: a shard decodes as many as it expects to get right with
+the weights at hand and goes on from the first that is wrong, which is the same as one after the other. Decoding is map only and takes whole texts, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .entities import description
 
 #: Rows of weights (as a power of two), epochs, shards that learn side by side, labels at most.
@@ -27,6 +29,8 @@ _WORD = re.compile(r"\w+|[^\w\s]")
 _SPANS = "array<struct<start:int,end:int,label:string>>"
 _FOUND = "array<struct<start:int,end:int,text:string,label:string>>"
 _KINDS = 10
+#: Words (with padding) that are decoded at once, and texts at most that a shard decodes ahead.
+AT_ONCE, AHEAD = 100_000, 256
 
 
 @lru_cache(1 << 16)
@@ -46,15 +50,18 @@ def words(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
+@lru_cache(1 << 17)
+def _seen(before: str, word: str, after: str, bits: int) -> tuple[int, ...]:
+    """Slots of a word between two others; an empty one is the edge of the text."""
+    left, own, right, shape = before.lower(), word.lower(), after.lower(), _shape(word)
+    seen = ("1", f"w{own}", f"s{shape}", f"p{own[:3]}", f"e{own[-3:]}", f"v{left}", f"n{right}", f"t{_shape(before)}", f"u{_shape(after)}", f"x{left} {shape}")
+    return tuple(_slot(f, bits) for f in seen)
+
+
 def slots(tokens: list[str], bits: int = BITS) -> np.ndarray:
     """A row for each token with the slots of its features."""
-    lower, shape = ["", *(w.lower() for w in tokens), ""], ["", *map(_shape, tokens), ""]
-    rows = np.empty((len(tokens), _KINDS), np.int32)
-    for i, word in enumerate(tokens, 1):
-        own = lower[i]
-        seen = ("1", f"w{own}", f"s{shape[i]}", f"p{own[:3]}", f"e{own[-3:]}", f"v{lower[i - 1]}", f"n{lower[i + 1]}", f"t{shape[i - 1]}", f"u{shape[i + 1]}", f"x{lower[i - 1]} {shape[i]}")
-        rows[i - 1] = [_slot(f, bits) for f in seen]
-    return rows
+    rows = [_seen(x, y, z, bits) for x, y, z in zip(["", *tokens], tokens, [*tokens[1:], ""])]
+    return np.array(rows, np.int32).reshape(len(tokens), _KINDS)
 
 
 def tags_of(labels: list[str]) -> list[str]:
@@ -88,6 +95,38 @@ def viterbi(emitted: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return best
 
 
+def viterbi_all(weights: np.ndarray, moves: np.ndarray, seen: list[np.ndarray]) -> list[np.ndarray]:
+    """viterbi() of many texts, given their slots: a step takes the next word of each."""
+    kinds = weights.shape[1]
+    told: list[np.ndarray] = [np.empty(0, np.int64)] * len(seen)
+    order = sorted((i for i in range(len(seen)) if len(seen[i])), key=lambda i: -len(seen[i]))
+    while order:
+        longest = len(seen[order[0]])
+        now, order = order[: max(1, AT_ONCE // longest)], order[max(1, AT_ONCE // longest) :]
+        sizes = np.array([len(seen[i]) for i in now])
+        ends = np.cumsum(sizes)
+        flat = _emitted(weights, np.concatenate([seen[i] for i in now]))
+        starts = ends - sizes
+        open_ = np.searchsorted(-sizes, -np.arange(longest), "left")  # texts with a word at each step: the first ones, as longer ones come first
+        back = np.zeros((longest, len(now), kinds), np.int8)
+        score = flat[starts] + moves[kinds]
+        for i in range(1, longest):
+            k = open_[i]
+            by = score[:k, :, None] + moves[:kinds]
+            back[i, :k] = by.argmax(1)
+            score[:k] = by.max(1) + flat[starts[:k] + i]
+        best = np.empty(len(flat), np.int64)
+        tag = score.argmax(1)
+        best[ends - 1] = tag
+        for i in range(longest - 1, 0, -1):
+            k = open_[i]
+            tag[:k] = back[i, np.arange(k), tag[:k]]
+            best[starts[:k] + i - 1] = tag[:k]
+        for i, own in zip(now, np.split(best, ends[:-1])):
+            told[i] = own
+    return told
+
+
 def _emitted(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
     total = np.zeros((len(seen), weights.shape[1]))
     for k in range(seen.shape[1]):
@@ -112,19 +151,35 @@ class _Shard:
 
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves, self.steps = weights.copy(), moves.copy(), 0
+        self.ahead = 1
         self.changes = [(np.zeros_like(weights), np.zeros_like(moves)) for _ in range(2)]
 
-    def learn(self, seen: np.ndarray, true: np.ndarray, bad: np.ndarray) -> None:
-        told = viterbi(_emitted(self.weights, seen), np.where(bad, -np.inf, self.moves))
+    def learn(self, lessons: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray) -> None:
+        """Learns from (slots, tags) of texts one after the other."""
+        at = 0
+        while at < len(lessons):
+            ahead = lessons[at : at + self.ahead]
+            told = viterbi_all(self.weights, np.where(bad, -np.inf, self.moves), [seen for seen, _ in ahead])
+            wrong = next((i for i, (own, (_, true)) in enumerate(zip(told, ahead)) if (own != true).any()), None)
+            if wrong is None:
+                self.steps += len(ahead)
+                self.ahead = min(2 * self.ahead, AHEAD)
+            else:
+                # What came before is right, so it changes nothing; what comes after is decoded again.
+                self.steps += wrong
+                self._change(*ahead[wrong], told[wrong])
+                self.steps += 1
+                self.ahead = max(1, (wrong + 1 + self.ahead) // 3)
+            at += len(ahead) if wrong is None else wrong + 1
+
+    def _change(self, seen: np.ndarray, true: np.ndarray, told: np.ndarray) -> None:
         wrong = np.flatnonzero(told != true)
-        if len(wrong):
-            start = self.weights.shape[1]
-            now, late = self.changes
-            for rows, moves, by in ((self.weights, self.moves, 1.0), (*now, 1.0), (*late, float(self.steps))):
-                for tags, sign in ((true, by), (told, -by)):
-                    np.add.at(rows, (seen[wrong], tags[wrong][:, None]), sign)
-                    np.add.at(moves, (np.concatenate([[start], tags[:-1]]), tags), sign)
-        self.steps += 1
+        start = self.weights.shape[1]
+        now, late = self.changes
+        for rows, moves, by in ((self.weights, self.moves, 1.0), (*now, 1.0), (*late, float(self.steps))):
+            for tags, sign in ((true, by), (told, -by)):
+                np.add.at(rows, (seen[wrong], tags[wrong][:, None]), sign)
+                np.add.at(moves, (np.concatenate([[start], tags[:-1]]), tags), sign)
 
     def rows(self) -> list[tuple[int, list[float], list[float]]]:
         """(slot, change, change of the mean over all steps); moves have slots after those of weights."""
@@ -149,14 +204,23 @@ class Tagger:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, label) of the names in a text."""
-        places = words(text)
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """find() of each text."""
         kinds = 1 + 2 * len(self.labels)
-        told = viterbi(_emitted(self.weights, slots([text[s:e] for s, e in places], self.bits)), np.where(forbidden(kinds), -np.inf, self.moves))
+        places = [words(text) for text in texts]
+        seen = [slots([text[s:e] for s, e in own], self.bits) for text, own in zip(texts, places)]
+        told = viterbi_all(self.weights, np.where(forbidden(kinds), -np.inf, self.moves), seen)
+        return [self._names(*x) for x in zip(places, told)]
+
+    def _names(self, places: list[tuple[int, int]], told: np.ndarray) -> list[tuple[int, int, str]]:
         found: list[list] = []
-        for (start, end), tag in zip(places, told.tolist()):
+        for i in np.flatnonzero(told).tolist():
+            (start, end), tag = places[i], int(told[i])
             if tag % 2:
                 found.append([start, end, self.labels[tag // 2]])
-            elif tag:
+            else:
                 found[-1][1] = end
         return [tuple(f) for f in found]
 
@@ -191,20 +255,25 @@ def train(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc
                 wide = pa.list_(pa.float64())
                 return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([r[1] for r in made], wide), pa.array([r[2] for r in made], wide)], names=["slot", "change", "mean"])
 
+            def lesson(body: str, names: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+                places = words(body)
+                return slots([body[s:e] for s, e in places], bits), gold(places, names, tags)
+
             for batch in batches:
-                for shard, body, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                    if shard != at:
-                        if learner:
-                            yield done()
-                        at, learner = shard, _Shard(*held.value)
-                    body = body.as_py()
-                    places = words(body)
-                    if places:
-                        learner.learn(slots([body[s:e] for s, e in places], bits), gold(places, names.as_py(), tags), bad)
+                # Some texts at a time: their slots are about 40 bytes a word.
+                for i in range(0, batch.num_rows, 4 * AHEAD):
+                    few = batch.slice(i, 4 * AHEAD)
+                    for shard, rows in groupby(zip(*[c.to_pylist() for c in few.columns]), key=lambda r: r[0]):
+                        if shard != at:
+                            if learner:
+                                yield done()
+                            at, learner = shard, _Shard(*held.value)
+                        learner.learn([x for x in (lesson(*r[1:]) for r in rows) if len(x[0])], bad)
             if learner:
                 yield done()
 
-        ordered = lessons.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "text").select("shard", "text", "spans")
+        # By number, not by hash, which would put several shards into one task.
+        ordered = lessons.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "turn", "text").select("shard", "text", "spans")
         told = ordered.mapInArrow(epoch, "slot int, change array<double>, mean array<double>")
         sums = [F.sum(F.get(c, F.lit(j))).alias(f"{c}{j}") for c in ("change", "mean") for j in range(kinds)]
         change, mean = np.zeros((size + 1, kinds)), np.zeros((size + 1, kinds))
@@ -225,7 +294,8 @@ def tag(docs: DataFrame, tagger: Tagger, text: str = "text", key: str = "doc_id"
 
     Null and empty texts hold none; repeated rows give theirs again.
     """
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Short texts are few bytes and much work.
+    slim = spread(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     kind = slim.schema["key"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(tagger)
     shape = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "text": pa.string(), "label": pa.string()}))
@@ -233,8 +303,11 @@ def tag(docs: DataFrame, tagger: Tagger, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            found = [[{"start": s, "end": e, "text": body[s:e], "label": x} for s, e, x in model.find(body)] for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, shape)], names=["key", "found"])
+            for i in range(0, batch.num_rows, 4 * AHEAD):
+                few = batch.slice(i, 4 * AHEAD)
+                texts = few.column(1).to_pylist()
+                found = [[{"start": s, "end": e, "text": body[s:e], "label": x} for s, e, x in names] for body, names in zip(texts, model.find_all(texts))]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(found, shape)], names=["key", "found"])
 
     hits = slim.mapInArrow(run, f"key {kind}, found {_FOUND}").select("key", F.explode("found").alias("f"))
     return hits.select(F.col("key").alias(key), "f.text", "f.label", description("f.label").alias("description"), "f.start", "f.end", F.lit("learnt").alias("source"))

@@ -119,3 +119,26 @@ def test_nothing_to_learn(spark):
 def test_very_long_text():
     model = tg.Tagger(["GPE"], np.zeros((64, 3)), np.zeros((4, 3)))
     assert model.find("word " * 100_000) == [] and model.find("") == []
+
+
+def test_many_texts_at_once_equal_one_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    kinds, weights = 5, rng.integers(-2, 3, size=(64, 5)).astype(float)
+    moves = np.where(tg.forbidden(kinds), -np.inf, rng.integers(-2, 3, size=(kinds + 1, kinds)))
+    seen = [rng.integers(0, 64, size=(n, 10)) for n in (0, 3, 1, 9, 3, 40, 0, 1)]
+    for at_once in (1, 12, 100_000):
+        monkeypatch.setattr(tg, "AT_ONCE", at_once)
+        assert all((a == tg.viterbi(tg._emitted(weights, s), moves)).all() for a, s in zip(tg.viterbi_all(weights, moves, seen), seen))
+    bad = tg.forbidden(kinds)
+    lessons = [(s, np.where(rng.random(len(s)) < 0.3, 1, 0)) for s in seen * 4 if len(s)]
+    one, many = (tg._Shard(np.zeros((64, kinds)), np.zeros((kinds + 1, kinds))) for _ in range(2))
+    for lesson in lessons:
+        one.learn([lesson], bad)
+    many.learn(lessons, bad)
+    assert one.rows() == many.rows() and one.steps == many.steps == len(lessons) and (one.weights == many.weights).all()
+
+
+def test_each_shard_is_a_task(spark):
+    rows = spark.range(64).select((F.col("id") % 8).cast("int").alias("shard"))
+    held = rows.repartitionById(8, F.col("shard")).select(F.spark_partition_id().alias("p"), "shard").distinct().collect()
+    assert len({r["p"] for r in held}) == len(held) == 8
