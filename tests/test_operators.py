@@ -240,3 +240,18 @@ def test_row_cosine_equals_the_expression(spark):
     odd = [(None, v[0]), (v[0], None), ([1.0], v[0]), ([None, 1.0, 1.0, 1.0], v[0]), ([0.0] * 4, v[0]), ([], []), ([float("nan")] * 4, v[0]), ([2.0], [3.0])]
     rows = spark.createDataFrame([*zip(v, v[1:]), *odd], "a array<double>, b array<double>").select(row_cosine("a", "b").alias("x"), cosine("a", "b").alias("y"))
     assert all(repr(r["x"]) == repr(r["y"]) for r in rows.collect())
+
+
+def test_texts_become_terms_once(spark, monkeypatch):
+    """Whatever the number of terms, texts are read for them once; counts are those of term_counts()."""
+    from quernstone.operators import keywords as kw
+
+    texts = ["Some words, some more words and some again " * 4, "", None, "  ", "one other Text of words " * 6 + "ab ab", "a b c", "one other Text of words " * 6 + "ab ab"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: sorted(map(tuple, r["terms"])) for r in kw.counted_terms(docs, longest=2).collect()}
+    assert got == {r["doc_id"]: sorted(map(tuple, r["t"])) for r in docs.select("doc_id", kw.term_counts("text", 2).alias("t")).collect()}
+    want = sorted(map(tuple, kw.top_terms(docs, min_chars=20).collect()))
+    monkeypatch.setattr(kw, "BROADCAST_TERMS", 2)
+    made = []
+    monkeypatch.setattr(kw, "terms", lambda *a, f=kw.terms: made.append(a) or f(*a))
+    assert sorted(map(tuple, kw.top_terms(docs, min_chars=20).collect())) == want and len(made) == 1
