@@ -86,3 +86,20 @@ def test_odd_rows(spark):
     assert {r["doc_id"] for r in rows} == {None, 2, 3}
     assert sum(r["doc_id"] == 2 and r["rank"] == 1 for r in rows) == 2
     assert phrases.key_phrases(docs.where("false")).collect() == []
+
+
+def test_nothing_moves_and_pieces_of_a_batch_agree(spark, monkeypatch):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    want = sorted((r["doc_id"], r["rank"], r["phrase"], r["score"]) for r in phrases.key_phrases(docs).collect())
+    terms = sorted(tuple(r) for r in phrases.term_features(docs).collect())
+    monkeypatch.setattr(phrases, "AT_ONCE", 50)
+    monkeypatch.setattr(phrases, "spread", lambda df: df.coalesce(1))
+    for made, rows in ((phrases.key_phrases(docs), want), (phrases.term_features(docs), terms)):
+        assert sorted(tuple(r) for r in made.collect()) == rows
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_deviation(spark):
+    """Counts 1, 3, 1, 3: mean 2 and deviation 1 exactly, so that no half of a last digit is missed."""
+    docs = spark.createDataFrame([(1, "alpha gamma gamma gamma. delta omega omega omega")], "doc_id long, text string")
+    assert {r["frequency"] for r in phrases.term_features(docs).collect()} == {1 / 3, 1.0}
