@@ -255,3 +255,20 @@ def test_texts_become_terms_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(kw, "terms", lambda *a, f=kw.terms: made.append(a) or f(*a))
     assert sorted(map(tuple, kw.top_terms(docs, min_chars=20).collect())) == want and len(made) == 1
+
+
+def test_keywords_of_rows_that_repeat_a_key(spark, monkeypatch):
+    """Each row is ranked by its own text, in whatever batches rows come, and nothing moves."""
+    texts = ["green apples and red apples grow on old trees near the river bank. " * 2, "fast engines join large tables while small tables wait in memory. " * 2]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[0]), (2, "short"), (3, None), (4, "1 2 3 . " * 20)], "doc_id long, text string")
+    alone = [kw.keywords(spark.createDataFrame([(0, x)], "doc_id long, text string")).first()["key_words"] for x in texts]
+    assert all(len(w) > 2 for w in alone)
+    want = sorted([("1", alone[0]), ("1", alone[1]), ("None", alone[0]), ("2", []), ("3", []), ("4", [])])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("10000", "2"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            made = kw.keywords(docs.coalesce(1))
+            assert sorted((str(r["doc_id"]), r["key_words"]) for r in made.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
