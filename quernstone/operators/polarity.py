@@ -8,11 +8,14 @@ without seeds would bring there. Texts are rated by their terms.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import NARROW_ROWS, cut, small
 from .keywords import terms
+from .wordvectors import Meetings
 
 #: Seeds of a side, share of a walk that starts anew in each round, rounds (what is left out is (1 - RESTART) ** ROUNDS at most).
 SEEDS, RESTART, ROUNDS = 10, 0.5, 24
@@ -67,10 +70,26 @@ def walk(entries: DataFrame, seeds: DataFrame, restart: float = RESTART, rounds:
     return both.select("term", F.col("p").alias("positive"), F.col("n").alias("negative"), ((F.col("p") + F.col("idle")) / (F.col("p") + F.col("n") + 2 * F.col("idle"))).alias("polarity"))
 
 
-def walk_words(words: DataFrame, entries: DataFrame, seeds: DataFrame, **options) -> DataFrame:
-    """walk() on entries by numbers of words (id, term), from and to the words."""
-    numbered = seeds.join(words, "term").select(F.col("id").alias("term"), "side")
-    return walk(entries, numbered, **options).withColumnRenamed("term", "id").join(small(words, NARROW_ROWS), "id").select("term", "positive", "negative", "polarity")
+def walk_words(words: DataFrame, met: Meetings, seeds: DataFrame, restart: float = RESTART, rounds: int = ROUNDS) -> DataFrame:
+    """walk() on the positive entries of Meetings of words (id, term), from and to the words. A round reads the blocks once; the walks, two numbers a word, are arrays of the driver."""
+    count = len(met.totals)
+    degree = met.times(np.ones((count, 1)))[:, 0]
+    root = np.sqrt(np.where(degree > 0, degree, 1.0))
+    known = np.zeros((count, 2))
+    for r in seeds.where("side <> 0").join(words, "term").select("id", "side").distinct().toLocalIterator():
+        known[r["id"], int(r["side"] < 0)] = 1.0
+    known[degree <= 0] = 0.0
+    start = known / np.maximum(known.sum(axis=0), 1.0)
+    now = start
+    for _ in range(rounds):
+        # A walk leaves a term divided by the root of its degree and arrives so too.
+        now = (1 - restart) * met.times(now / root[:, None]) / root[:, None] + restart * start
+    idle = np.where(degree > 0, root, 0.0) / (np.where(degree > 0, root, 0.0).sum() or 1.0)
+    at = np.flatnonzero(now.sum(axis=1) > 0)
+    (p, n), idle = now[at].T, idle[at]
+    made = pa.table({"id": pa.array(at.astype(np.int32)), "positive": pa.array(p.copy()), "negative": pa.array(n.copy()), "polarity": pa.array((p + idle) / (p + n + 2 * idle))})
+    table = cut(words.sparkSession.createDataFrame(made, "id int, positive double, negative double, polarity double"))
+    return table.join(small(words, NARROW_ROWS), "id").select("term", "positive", "negative", "polarity")
 
 
 def rate(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -83,3 +83,20 @@ def test_ratings(spark):
     assert got[:2] == [(0, "5 stars", 0.8, 0.9)] * 2 and [g[:3] for g in got[2:]] == [(1, "1 star", -0.8), *((i, "3 stars", 0.0) for i in (2, 3, 4, 5, 6)), (7, "3 stars", mean), (8, "5 stars", 0.8)]
     assert po.rate(docs.where("false"), lexicon).collect() == [] and {r["label"] for r in po.rate(docs, lexicon.where("false")).collect()} == {"3 stars"}
     assert docs.select(F.count("*")).first()[0] == len(got)
+
+
+def test_walk_on_blocks_is_the_walk_on_entries(spark, monkeypatch):
+    monkeypatch.setattr(wv, "PACKED", 50)
+    docs = spark.createDataFrame([(i, f"one two w{i % 3} three w{i % 5} four one two" if i % 9 else None) for i in range(60)], "doc_id long, text string")
+    words, entries = wv.related(docs)
+    names = {r["id"]: r["term"] for r in words.terms.collect()}
+    seeds = [("w1", 2), ("w1", 1), ("w4", -1), ("two", 1), ("two", -1), ("nowhere", 1), ("three", 0), (None, 1)]
+    table = spark.createDataFrame(seeds, SEEDS)
+    _, met = wv.meetings(docs)
+    assert set(met.blocks.dtypes) == {(c, "binary") for c in ("a", "size", "b", "n")}
+    plain = solved([(names[r["a"]], names[r["b"]], r["ppmi"]) for r in entries.collect()], [(t, int(math.copysign(1, s))) for t, s in seeds if t and s], po.RESTART)
+    same(po.walk_words(words.terms, met, table, rounds=40), plain, 1e-9)
+    # No seeds, and no words.
+    assert po.walk_words(words.terms, met, table.where("term = 'nowhere'")).count() == 0
+    none, empty = wv.meetings(docs.where("false"))
+    assert po.walk_words(none.terms, empty, table).count() == 0
